@@ -15,9 +15,12 @@ from lorewell.functions.labels import triple_text
 from lorewell.operators.scratch import shuffle_partitions, written
 from lorewell.operators.terms import (
     Lemma,
+    first_mention,
+    group_terms,
     message_sentences,
     sentence_counts,
     sentence_terms,
+    tokens,
 )
 
 TRIPLE = ("start", "relation", "end")
@@ -246,3 +249,38 @@ def extract_knowledge(
     joined = messages.join(found, list(keys), "left")
     nothing = F.array().cast(found.schema["triples"].dataType)
     return joined.withColumn("triples", F.coalesce("triples", nothing))
+
+
+def context_knowledge(
+    turns: DataFrame,
+    index: EdgeIndex,
+    conv: str = "conv_id",
+    turn: str = "turn",
+    text: str = "text",
+    stop_words: Sequence[str] = T.STOP_WORDS,
+    lemma: Lemma | None = None,
+) -> DataFrame:
+    """Knowledge from the whole dialogue so far, as what each turn adds to it.
+
+    A word is looked up once per conversation, so the groups of an early turn do
+    not change when later turns join the context. What is known at turn t is
+    thus every row with a turn up to t; no history is ever copied.
+    """
+    keys = [conv, turn]
+    spread = turns.select(*keys, text).repartition(shuffle_partitions(turns), *keys)
+    table = tokens(spread, keys, text, stop_words)
+    fresh = first_mention(table, [conv], [turn, "sent_no", "group_no", "pos"])
+    named = fresh.withColumn("term", lemma(F.col("surface")) if lemma else F.col("surface"))
+    group = [*keys, "sent_no", "group_no"]
+    terms = group_terms(named, group)
+    counts = sentence_counts(
+        message_sentences(spread, keys, text, stop_words, dedupe=False).select(
+            *keys, "sent_no", "words"
+        )
+    )
+    ranked = rank_knowledge(terms.join(counts, [*keys, "sent_no"]), index, group)
+    place = [turn, "sent_no", "group_no", "rank"]
+    first = F.min(F.struct(*place, "score")).alias("p")
+    return ranked.groupBy(conv, *TRIPLE).agg(first).select(
+        conv, *[f"p.{c}" for c in place], *TRIPLE, "p.score"
+    )
