@@ -21,8 +21,8 @@ def concepts_by_text(episodes: DataFrame, order: tuple[str, ...]) -> DataFrame:
     rows = episodes.select(*order, F.posexplode(entries).alias("pos", "e")).select(
         *order,
         "pos",
-        F.get(F.col("e")["0"], F.lit(1)).alias("text"),
-        F.col("e")["1"].alias("concepts"),
+        F.get(F.col("e")["entry"], F.lit(1)).alias("text"),
+        F.col("e")["concepts"].alias("concepts"),
     )
     return rows.groupBy("text").agg(
         F.max_by("concepts", F.struct(*order, "pos")).alias("concepts")

@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lorewell.functions import porter2
 from lorewell.functions.labels import concept_label, concept_prefix, relation_token
@@ -55,7 +56,7 @@ cloudpickle.register_pickle_by_value(porter2)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _stem(labels: pd.Series) -> pd.Series:
     return labels.map({x: porter2.stem(x) for x in labels.dropna().unique()})
 

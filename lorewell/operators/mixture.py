@@ -53,9 +53,8 @@ def mix_datasets(
     extra = (F.col("_place") <= F.col("_quota") % F.col("_size")).cast("bigint")
     copies = (full + extra).cast("int")
     rows = ranked.join(quotas, "dataset").filter(copies > 0)
-    return rows.withColumn(
-        "copy", F.explode(F.sequence(F.lit(0), copies - 1)).cast("bigint")
-    ).drop("_place", "_size", "_quota")
+    numbers = F.sequence(F.lit(0).cast("bigint"), (copies - 1).cast("bigint"))
+    return rows.withColumn("copy", F.explode(numbers)).drop("_place", "_size", "_quota")
 
 
 def history_text(

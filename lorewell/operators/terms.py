@@ -58,14 +58,14 @@ def message_sentences(
         F.split(as_text, T.SENTENCE_END, -1).alias("all_words"),
         F.split(F.array_join(fresh, " ") if dedupe else as_text, T.SENTENCE_END, -1).alias("runs"),
     )
-    rows = coded.select(*keys, F.posexplode(F.arrays_zip("sents", "all_words", "runs")))
+    rows = coded.select(*keys, F.posexplode(F.arrays_zip("sents", "all_words", "runs")).alias("_no", "_s"))
     # split() leaves one empty piece behind the last sentence end
-    return rows.filter(F.col("col.sents").isNotNull()).select(
+    return rows.filter(F.col("_s.sents").isNotNull()).select(
         *keys,
-        F.col("pos").cast("bigint").alias("sent_no"),
-        F.col("col.sents").alias("sentence"),
-        T.split_words(F.col("col.all_words")).alias("words"),
-        T.split_runs(F.col("col.runs")).alias("runs"),
+        F.col("_no").cast("bigint").alias("sent_no"),
+        F.col("_s.sents").alias("sentence"),
+        T.split_words(F.col("_s.all_words")).alias("words"),
+        T.split_runs(F.col("_s.runs")).alias("runs"),
     )
 
 

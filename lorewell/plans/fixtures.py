@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorewell.functions.text import STOP_WORDS
+from lorewell.functions.knowledge_text import escape_separators
+from lorewell.functions.text import STOP_WORDS, WORD, plural_lemma
+from lorewell.operators.ordered import with_neighbour
 from lorewell.operators.scratch import shuffle_partitions
 
 # Relation names of the derived knowledge base, in index order.
@@ -87,3 +90,154 @@ def assertions(documents: DataFrame) -> DataFrame:
         F.col("sense") & (F.length("end") % 4 == 0), F.array(plain, clash)
     ).otherwise(F.array(plain))
     return _as_assertions(named.select("lang", "start", "end", "n", F.inline(copies)))
+
+
+# --- dialogue formats ------------------------------------------------------
+
+CONVERSATIONS_PER_FILE = 64
+
+
+def lemma_table(conversations: DataFrame) -> DataFrame:
+    """(surface, lemma) for the plural-like words of the conversations."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    surface = conversations.select(words.alias("surface")).distinct()
+    plural = surface.filter(F.col("surface").endswith("s") & (F.length("surface") > 4))
+    return plural.withColumn("lemma", plural_lemma(F.col("surface")))
+
+
+def placed_turns(conversations: DataFrame, header: int = 0) -> DataFrame:
+    """Turns with their file and dense line number, text on one line, and the texts around.
+
+    64 conversations make a file; only their sizes are summed up per file.
+    """
+    file_no = F.floor(F.col("conv_id") / CONVERSATIONS_PER_FILE).cast("bigint")
+    sizes = conversations.groupBy("conv_id").agg(
+        F.count("*").alias("_n"), F.max("turn").alias("last_turn")
+    )
+    before = W.partitionBy("_f").orderBy("conv_id").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.withColumn("_f", file_no).select(
+        "conv_id",
+        "last_turn",
+        F.concat(F.lit("f"), F.col("_f").cast("string")).alias("file"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+    )
+    turns = conversations.withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    near = with_neighbour(turns, ["conv_id"], "turn", {"prev": "text"}, -1)
+    near = with_neighbour(near, ["conv_id"], "turn", {"next": "text"}, 1)
+    placed = near.join(starts, "conv_id")
+    line_no = (F.col("_start") + F.col("turn") + 1 + header).cast("bigint")
+    return placed.withColumn("line_no", line_no).drop("_start")
+
+
+def convai_lines(conversations: DataFrame) -> DataFrame:
+    number = (F.col("turn") + 1).cast("string")
+    tail = F.concat(F.lit("\t"), "next", F.lit("\t\t"), "next", F.lit("|"), "role")
+    said = F.concat(number, F.lit(" "), "text", tail)
+    persona = F.concat(number, F.lit(" your persona: "), "text")
+    line = F.when(F.col("role") == "system", persona).otherwise(said)
+    return (
+        placed_turns(conversations)
+        .filter(F.col("next").isNotNull())
+        .select("file", "line_no", line.alias("line"))
+    )
+
+
+def two_words(text: Column | str = "text") -> Column:
+    """The first two words of a text: stand-in items for the readers of knowledge."""
+    return F.slice(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), 1, 2)
+
+
+def bst_lines(conversations: DataFrame, concepts: bool = False) -> DataFrame:
+    done = F.when(F.col("turn") + 1 == F.col("last_turn"), F.lit("\tepisode_done:True"))
+    parts = [
+        F.lit("text:"),
+        F.coalesce("prev", F.lit("")),
+        F.lit("\tfree_message:"),
+        F.col("text"),
+        F.lit("\tlabels:"),
+        F.col("next"),
+        F.coalesce(done, F.lit("")),
+    ]
+    if concepts:
+        parts += [F.lit("\tconcepts:"), F.array_join(two_words(), "|")]
+    return (
+        placed_turns(conversations)
+        .filter(F.col("next").isNotNull())
+        .select("file", "line_no", F.concat(*parts).alias("line"))
+    )
+
+
+def ed_lines(conversations: DataFrame, concepts: bool = False) -> DataFrame:
+    placed = placed_turns(conversations, header=1)
+
+    tag = F.when(
+        (F.col("conv_id") % 7 == 0) & (F.col("turn") == 1), F.lit("<POLITICAL>")
+    ).otherwise(F.lit(""))
+    cands = F.when(
+        F.col("conv_id") % 2 == 0,
+        F.concat(F.lit(","), escape_separators(F.col("text")), F.lit("|"), "role"),
+    ).otherwise(F.lit(""))
+    parts = [
+        F.lit("hit:"),
+        F.col("conv_id").cast("string"),
+        F.lit(","),
+        (F.col("turn") + 1).cast("string"),
+        F.lit(","),
+        F.col("role"),
+        F.lit(","),
+        escape_separators(F.substring("text", 1, 20)),
+        F.lit(",0,"),
+        escape_separators(F.col("text")),
+        F.lit(",x,"),
+        tag,
+        cands,
+    ]
+    if concepts:
+        parts += [F.lit(","), F.array_join(two_words(), "|")]
+    rows = placed.select("file", "line_no", F.concat(*parts).alias("line"))
+    names = "conv_id,utterance_idx,context,prompt,speaker_idx,utterance,selfeval,tags"
+    header = placed.select("file").distinct().select(
+        "file", F.lit(1).cast("bigint").alias("line_no"), F.lit(names).alias("line")
+    )
+    return header.unionByName(rows)
+
+
+def _episodes(conversations: DataFrame, entry: Column) -> DataFrame:
+    """Entries in order, one row per conversation and 64 turns."""
+    part = F.floor(F.col("turn") / EPISODE_TURNS).cast("bigint")
+    listed = F.collect_list(F.struct("turn", entry.alias("e")))
+    return (
+        conversations.withColumn("part", part)
+        .groupBy("conv_id", "part")
+        .agg(F.transform(F.array_sort(listed), lambda x: x["e"]).alias("entries"))
+    )
+
+
+def wow_episodes(conversations: DataFrame, concepts: bool = False) -> DataFrame:
+    wizard = F.col("role") == "assistant"
+    fields = [
+        F.when(wizard, F.lit("1_Wizard")).otherwise(F.lit("0_Apprentice")).alias("speaker"),
+        F.col("text"),
+    ]
+    if concepts:
+        fields.append(two_words().alias("concepts"))
+    episodes = _episodes(conversations, F.struct(*fields))
+    first = F.get("entries", F.lit(0))["text"]
+    return episodes.select(
+        "conv_id",
+        "part",
+        F.get(two_words(first), F.lit(0)).alias("chosen_topic"),
+        F.col("entries").alias("dialog"),
+    )
+
+
+def bst_episodes(conversations: DataFrame) -> DataFrame:
+    flat = conversations.withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    entry = F.struct(F.array("role", "text").alias("said"), two_words().alias("items"))
+    episodes = _episodes(flat, entry)
+    return episodes.select(
+        "conv_id",
+        "part",
+        F.transform("entries", lambda e: e["said"]).alias("dialog"),
+        F.transform("entries", lambda e: e["items"]).alias("concepts"),
+    )

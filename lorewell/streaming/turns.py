@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lorewell.operators.augment import augment_turns
 from lorewell.operators.knowledge import EdgeIndex
@@ -42,5 +43,5 @@ def augment_turn_stream(
 
 def read_augmented(df: DataFrame, sink: str) -> DataFrame:
     """The sink as a table; `df` gives the schema of the turns."""
-    schema = df.schema.add("batch_id", "bigint")
+    schema = StructType([*df.schema.fields, StructField("batch_id", LongType())])
     return df.sparkSession.read.schema(schema).parquet(f"{sink}/batch=*")
