@@ -58,7 +58,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 @F.pandas_udf(StringType())
 def _stem(labels: pd.Series) -> pd.Series:
-    return labels.map({x: porter2.stem(x) for x in labels.dropna().unique()})
+    known = {x: porter2.stem(x) for x in labels.dropna().unique()}
+    return pd.Series([known.get(x) for x in labels], dtype=object)
 
 
 def stem_labels(labels: DataFrame, label: str = "label") -> DataFrame:
