@@ -13,6 +13,7 @@ from lorewell.functions import text as T
 from lorewell.functions import vectors as V
 from lorewell.functions.labels import triple_text
 from lorewell.operators.scratch import shuffle_partitions, written
+from lorewell.operators.sizes import broadcast_if_small
 from lorewell.operators.terms import (
     Lemma,
     first_mention,
@@ -24,6 +25,7 @@ from lorewell.operators.terms import (
 )
 
 TRIPLE = ("start", "relation", "end")
+LONG_WORDS = 1000
 
 
 def candidate_triples(terms: DataFrame, edges: DataFrame) -> DataFrame:
@@ -100,16 +102,18 @@ def knowledge_arrays(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class EdgeIndex:
-    """Edges prepared for the sparse score, looked up by (start, word).
+    """Edges prepared for the sparse score.
 
-    Rows with an empty word answer every mention of their start. A start with
-    more edges than the limit is a hub: its empty-word rows are only those that
-    can win without sharing a word of their end with the sentence, and its other
-    edges are listed under each word of their end.
+    `edges` is looked up by (start, word). Rows with an empty word answer a
+    mention of their start. A start with more edges than the limit is a hub: its
+    empty-word rows are only those that can win without sharing a word of their
+    end with the sentence, and all its edges are listed under each word of their
+    end. `vectors` holds every edge once.
     """
 
     edges: DataFrame
     hubs: DataFrame | None
+    vectors: DataFrame
     k: int
 
 
@@ -135,9 +139,10 @@ def index_edges(
     vectors = edges
     if "triple_words" not in edges.columns:
         vectors = triple_vectors(edges, stop_words)
-    plain = vectors.withColumns({"word": F.lit(""), "end_words": F.array().cast("array<string>")})
+    nothing = F.array().cast("array<string>")
+    plain = vectors.withColumns({"word": F.lit(""), "end_words": nothing})
     if degree_limit is None:
-        return EdgeIndex(plain, None, k)
+        return EdgeIndex(plain, None, vectors, k)
     hubs = (
         vectors.groupBy("start")
         .agg(F.count("*").alias("n"))
@@ -145,7 +150,8 @@ def index_edges(
         .select("start")
     )
     light = plain.join(hubs, "start", "left_anti")
-    heavy = plain.join(hubs, "start", "left_semi")
+    end_words = F.array_distinct(T.content_words(F.col("end"), stop_words))
+    heavy = plain.join(hubs, "start", "left_semi").withColumn("end_words", end_words)
 
     def first_k(by: Sequence[str], order: Sequence[str]) -> DataFrame:
         place = F.row_number().over(W.partitionBy(*by).orderBy(*order))
@@ -157,10 +163,8 @@ def index_edges(
         .unionByName(first_k(["start", "relation"], ["triple_norm", "end"]))
         .dropDuplicates(["start", "end"])
     )
-    rest = heavy.join(winners.select("start", "end"), ["start", "end"], "left_anti")
-    end_words = F.array_distinct(T.content_words(F.col("end"), stop_words))
-    tails = rest.withColumn("end_words", end_words).withColumn("word", F.explode("end_words"))
-    return EdgeIndex(light.unionByName(winners).unionByName(tails), hubs, k)
+    listed = heavy.withColumn("word", F.explode("end_words"))
+    return EdgeIndex(light.unionByName(winners).unionByName(listed), hubs, vectors, k)
 
 
 def build_index(
@@ -174,7 +178,9 @@ def build_index(
     index = index_edges(vectors, k, degree_limit, stop_words)
     if index.hubs is None:
         return index
-    return EdgeIndex(written(index.edges, "edge-index"), written(index.hubs, "hubs"), k)
+    return EdgeIndex(
+        written(index.edges, "edge-index"), written(index.hubs, "hubs"), vectors, k
+    )
 
 
 def indexed_candidates(terms: DataFrame, index: EdgeIndex) -> DataFrame:
@@ -182,34 +188,52 @@ def indexed_candidates(terms: DataFrame, index: EdgeIndex) -> DataFrame:
     if index.hubs is None:
         probes = terms.withColumn("probe", F.lit(""))
     else:
-        hubs = index.hubs.select(F.col("start").alias("hub"))
+        hubs = broadcast_if_small(index.hubs.select(F.col("start").alias("hub")))
         words = F.concat(F.array(F.lit("")), F.map_keys("tf"))
         flagged = terms.join(hubs, terms["term"] == hubs["hub"], "left")
         probes = flagged.withColumn(
             "probe", F.explode(F.when(F.col("hub").isNotNull(), words).otherwise(F.slice(words, 1, 1)))
         ).drop("hub")
-    edges = index.edges
+    edges = broadcast_if_small(index.edges)
     met = probes.join(
         edges, (probes["term"] == edges["start"]) & (probes["probe"] == edges["word"]), "inner"
     )
-    # an edge met by several of its words counts once, at the first of them
+    # an edge counts once: at the first word of its end that the sentence has, else as empty
     first = F.get(F.filter("end_words", lambda w: F.map_contains_key("tf", w)), F.lit(0))
-    return met.filter((F.col("word") == "") | (F.col("word") == first)).drop(
+    return met.filter(F.col("word") == F.coalesce(first, F.lit(""))).drop(
         "term", "probe", "word", "end_words"
     )
 
 
-def rank_knowledge(
-    terms: DataFrame,
-    index: EdgeIndex,
-    group: Sequence[str],
-    bag: bool = True,
+def short_scores(
+    sents: DataFrame, index: EdgeIndex, keys: Sequence[str], lemma: Lemma | None
 ) -> DataFrame:
-    """Terms with `tf` and `norm` -> the k best triples of each group."""
-    scored = sparse_scores(indexed_candidates(terms, index))
-    return top_triples(scored, group, index.k, bag).select(
-        *group, "rank", *TRIPLE, "score"
+    """Scored candidates; each mention carries the word counts of its sentence."""
+    terms = sentence_terms(sents, keys, lemma, carry=("tf", "norm"))
+    return sparse_scores(indexed_candidates(terms, index))
+
+
+def long_scores(
+    sents: DataFrame, index: EdgeIndex, keys: Sequence[str], lemma: Lemma | None
+) -> DataFrame:
+    """The same for sentences with very many words, whose counts are joined word by word."""
+    sentence = [*keys, "sent_no"]
+    terms = sentence_terms(sents, keys, lemma, carry=("norm",))
+    met = candidate_triples(terms, index.vectors)
+    found = met.select(*sentence, "group_no", "norm", *TRIPLE, "triple_norm")
+    words = met.select(*sentence, *TRIPLE, "triple_words").dropDuplicates([*sentence, *TRIPLE])
+    words = words.select(*sentence, *TRIPLE, F.explode("triple_words").alias("word"))
+    counts = sents.select(*sentence, F.explode("tf").alias("word", "n"))
+    dots = (
+        words.join(counts, [*sentence, "word"])
+        .groupBy(*sentence, *TRIPLE)
+        .agg(F.sum("n").alias("dot"))
+    )
+    scored = found.join(dots, [*sentence, *TRIPLE], "left")
+    score = V.cosine_from_counts(
+        F.coalesce("dot", F.lit(0)), F.col("norm"), F.col("triple_norm")
     )
+    return scored.select(*sentence, "group_no", *TRIPLE, score.alias("score"))
 
 
 def message_knowledge(
@@ -220,18 +244,39 @@ def message_knowledge(
     stop_words: Sequence[str] = T.STOP_WORDS,
     lemma: Lemma | None = None,
     bag: bool = True,
+    long_words: int = LONG_WORDS,
 ) -> DataFrame:
     """Ranked triples of every message: (keys, sent_no, group_no, rank, triple, score).
 
     Messages are spread by key once, as plain text. While the edges are small
     enough to be broadcast nothing after that is shuffled: groups and messages
-    are already together.
+    are already together. Sentences with more than `long_words` words take a way
+    of their own, so that no row grows with the square of a sentence.
     """
-    spread = messages.select(*keys, text).repartition(shuffle_partitions(messages), *keys)
-    sents = message_sentences(spread, keys, text, stop_words)
-    sents = sentence_counts(sents.filter(F.size("runs") > 0).drop("sentence"))
-    terms = sentence_terms(sents, keys, lemma, carry=("tf", "norm"))
-    return rank_knowledge(terms, index, [*keys, "sent_no", "group_no"], bag)
+
+    def analysed(part: DataFrame, is_long: bool) -> DataFrame:
+        spread = part.select(*keys, text).repartition(shuffle_partitions(part), *keys)
+        sents = message_sentences(spread, keys, text, stop_words)
+        # on the plain word list: a filter on the counts would be pushed into their making
+        fits = F.size("words") > long_words
+        sents = sents.filter((F.size("runs") > 0) & (fits if is_long else ~fits))
+        return sentence_counts(sents.drop("sentence"))
+
+    short = analysed(messages, False)
+    # n words need at least 2n - 1 characters
+    long = analysed(messages.filter(F.length(text) > 2 * long_words), True)
+    group = [*keys, "sent_no", "group_no"]
+
+    def best(scored: DataFrame) -> DataFrame:
+        ranked = top_triples(scored, group, index.k, bag)
+        return ranked.select(*group, "rank", *TRIPLE, "score")
+
+    # a sentence is in one part only, so each part can be ranked by itself; the few long ones
+    # are then put where their message is, which leaves the union spread by key
+    rest = best(long_scores(long, index, keys, lemma))
+    return best(short_scores(short, index, keys, lemma)).unionByName(
+        rest.repartition(shuffle_partitions(messages), *keys)
+    )
 
 
 def extract_knowledge(
@@ -278,7 +323,8 @@ def context_knowledge(
             *keys, "sent_no", "words"
         )
     )
-    ranked = rank_knowledge(terms.join(counts, [*keys, "sent_no"]), index, group)
+    scored = sparse_scores(indexed_candidates(terms.join(counts, [*keys, "sent_no"]), index))
+    ranked = top_triples(scored, group, index.k)
     place = [turn, "sent_no", "group_no", "rank"]
     first = F.min(F.struct(*place, "score")).alias("p")
     return ranked.groupBy(conv, *TRIPLE).agg(first).select(

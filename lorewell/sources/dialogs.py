@@ -13,17 +13,21 @@ WOW_SCHEMA = (
 BST_SCHEMA = "dialog array<array<string>>, concepts array<array<string>>"
 
 
-def with_line_numbers(rows: DataFrame) -> DataFrame:
+def with_line_numbers(rows: DataFrame, folder_is_file: bool = False) -> DataFrame:
     """Add `file` and `line_no`, counted from 1 in each file.
 
     Rows keep their place inside a split; the splits of a file are counted
     first, and only those counts are summed up, so a huge file stays spread.
+    With `folder_is_file` the part files of a folder count as one file, in the
+    order of their names.
     """
     columns = rows.columns
+    path = F.col("_metadata.file_path")
+    start = F.col("_metadata.file_block_start")
     placed = rows.select(
         *columns,
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_split"),
+        (F.regexp_replace(path, "/[^/]*$", "") if folder_is_file else path).alias("file"),
+        F.struct(path.alias("path"), start.alias("start")).alias("_split"),
         F.monotonically_increasing_id().alias("_id"),
     )
     splits = placed.groupBy("file", "_split").agg(
@@ -60,13 +64,15 @@ def read_dialog_json(
 def read_layout(
     spark: SparkSession, root: str, dataset: str, split: str, variant: str = "plain"
 ) -> DataFrame:
-    """Lines of one dataset, split and variant; other folders are not listed for reading."""
+    """Lines of one dataset, split and variant, as written by `write_dialog_lines`.
+
+    The filter is on partition columns, so other folders are not read.
+    """
     lines = spark.read.text(root).filter(
         (F.col("dataset") == dataset) & (F.col("split") == split) & (F.col("variant") == variant)
     )
-    return with_line_numbers(lines.drop("dataset", "split", "variant")).withColumnRenamed(
-        "value", "line"
-    )
+    numbered = with_line_numbers(lines.drop("dataset", "split", "variant"), folder_is_file=True)
+    return numbered.withColumnRenamed("value", "line")
 
 
 def variant_name(dataset: str, concepts: bool, candidates: bool = True) -> str:
@@ -92,9 +98,8 @@ def write_dialog_lines(
         else lines.repartitionByRange(*order)
     )
     sorted_lines = ranged.sortWithinPartitions(*order)
-    sorted_lines.select(*partition_by, F.col("line").alias("value")).write.partitionBy(
-        *partition_by
-    ).text(path)
+    writer = sorted_lines.select(*partition_by, F.col("line").alias("value")).write
+    (writer.partitionBy(*partition_by) if partition_by else writer).text(path)
 
 
 def write_dialog_json(episodes: DataFrame, path: str) -> None:

@@ -104,6 +104,17 @@ def test_extraction_equals_nested_loops_at_any_hub_limit(spark, limit):
     assert got == brute_force(texts, data, 3)
 
 
+@pytest.mark.parametrize("long_words", [0, 3])
+def test_long_sentences_take_another_way_to_the_same(spark, long_words):
+    data, edges = random_edges(spark, 11)
+    texts, messages = random_messages(spark, 12)
+    index = K.index_edges(edges, 3, 5)
+    ranked = K.message_knowledge(messages, index, ["id"], long_words=long_words)
+    rows = K.knowledge_arrays(ranked, ["id"]).collect()
+    got = {r["id"]: [tuple(t) for t in r["triples"]] for r in rows}
+    assert got == {i: t for i, t in brute_force(texts, data, 3).items() if t}
+
+
 def test_extraction_without_broadcast(spark):
     data, edges = random_edges(spark, 5)
     texts, messages = random_messages(spark, 6)
