@@ -205,27 +205,25 @@ def indexed_candidates(terms: DataFrame, index: EdgeIndex) -> DataFrame:
     )
 
 
-def short_scores(
-    sents: DataFrame, index: EdgeIndex, keys: Sequence[str], lemma: Lemma | None
-) -> DataFrame:
+def short_scores(terms: DataFrame, index: EdgeIndex) -> DataFrame:
     """Scored candidates; each mention carries the word counts of its sentence."""
-    terms = sentence_terms(sents, keys, lemma, carry=("tf", "norm"))
     return sparse_scores(indexed_candidates(terms, index))
 
 
 def long_scores(
-    sents: DataFrame, index: EdgeIndex, keys: Sequence[str], lemma: Lemma | None
+    terms: DataFrame, counts: DataFrame, index: EdgeIndex, sentence: Sequence[str]
 ) -> DataFrame:
-    """The same for sentences with very many words, whose counts are joined word by word."""
-    sentence = [*keys, "sent_no"]
-    terms = sentence_terms(sents, keys, lemma, carry=("norm",))
+    """The same for sentences with very many words: terms carry only `norm`.
+
+    `counts` holds `tf` once per sentence; it is joined word by word.
+    """
     met = candidate_triples(terms, index.vectors)
     found = met.select(*sentence, "group_no", "norm", *TRIPLE, "triple_norm")
     words = met.select(*sentence, *TRIPLE, "triple_words").dropDuplicates([*sentence, *TRIPLE])
     words = words.select(*sentence, *TRIPLE, F.explode("triple_words").alias("word"))
-    counts = sents.select(*sentence, F.explode("tf").alias("word", "n"))
+    tf = counts.select(*sentence, F.explode("tf").alias("word", "n"))
     dots = (
-        words.join(counts, [*sentence, "word"])
+        words.join(tf, [*sentence, "word"])
         .groupBy(*sentence, *TRIPLE)
         .agg(F.sum("n").alias("dot"))
     )
@@ -236,6 +234,29 @@ def long_scores(
     return scored.select(*sentence, "group_no", *TRIPLE, score.alias("score"))
 
 
+def _split_sentences(
+    messages: DataFrame,
+    keys: Sequence[str],
+    text: str,
+    stop_words: Sequence[str],
+    long_words: int,
+    dedupe: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """Counted sentences, spread by key: those of usual length, and the long ones."""
+
+    def analysed(part: DataFrame, is_long: bool) -> DataFrame:
+        spread = part.select(*keys, text).repartition(shuffle_partitions(part), *keys)
+        sents = message_sentences(spread, keys, text, stop_words, dedupe)
+        # on the plain word list: a filter on the counts would be pushed into their making
+        fits = F.size("words") > long_words
+        sents = sents.filter((F.size("runs") > 0) & (fits if is_long else ~fits))
+        return sentence_counts(sents.drop("sentence"))
+
+    # n words need at least 2n - 1 characters
+    candidates = messages.filter(F.length(text) > 2 * long_words)
+    return analysed(messages, False), analysed(candidates, True)
+
+
 def message_knowledge(
     messages: DataFrame,
     index: EdgeIndex,
@@ -253,28 +274,19 @@ def message_knowledge(
     are already together. Sentences with more than `long_words` words take a way
     of their own, so that no row grows with the square of a sentence.
     """
-
-    def analysed(part: DataFrame, is_long: bool) -> DataFrame:
-        spread = part.select(*keys, text).repartition(shuffle_partitions(part), *keys)
-        sents = message_sentences(spread, keys, text, stop_words)
-        # on the plain word list: a filter on the counts would be pushed into their making
-        fits = F.size("words") > long_words
-        sents = sents.filter((F.size("runs") > 0) & (fits if is_long else ~fits))
-        return sentence_counts(sents.drop("sentence"))
-
-    short = analysed(messages, False)
-    # n words need at least 2n - 1 characters
-    long = analysed(messages.filter(F.length(text) > 2 * long_words), True)
+    short, long = _split_sentences(messages, keys, text, stop_words, long_words)
     group = [*keys, "sent_no", "group_no"]
 
     def best(scored: DataFrame) -> DataFrame:
         ranked = top_triples(scored, group, index.k, bag)
         return ranked.select(*group, "rank", *TRIPLE, "score")
 
+    terms = sentence_terms(short, keys, lemma, carry=("tf", "norm"))
+    long_terms = sentence_terms(long, keys, lemma, carry=("norm",))
     # a sentence is in one part only, so each part can be ranked by itself; the few long ones
     # are then put where their message is, which leaves the union spread by key
-    rest = best(long_scores(long, index, keys, lemma))
-    return best(short_scores(short, index, keys, lemma)).unionByName(
+    rest = best(long_scores(long_terms, long, index, [*keys, "sent_no"]))
+    return best(short_scores(terms, index)).unionByName(
         rest.repartition(shuffle_partitions(messages), *keys)
     )
 
@@ -304,6 +316,7 @@ def context_knowledge(
     text: str = "text",
     stop_words: Sequence[str] = T.STOP_WORDS,
     lemma: Lemma | None = None,
+    long_words: int = LONG_WORDS,
 ) -> DataFrame:
     """Knowledge from the whole dialogue so far, as what each turn adds to it.
 
@@ -312,19 +325,19 @@ def context_knowledge(
     thus every row with a turn up to t; no history is ever copied.
     """
     keys = [conv, turn]
-    spread = turns.select(*keys, text).repartition(shuffle_partitions(turns), *keys)
-    table = tokens(spread, keys, text, stop_words)
+    sentence = [*keys, "sent_no"]
+    group = [*sentence, "group_no"]
+    table = tokens(turns.select(*keys, text), keys, text, stop_words)
     fresh = first_mention(table, [conv], [turn, "sent_no", "group_no", "pos"])
     named = fresh.withColumn("term", lemma(F.col("surface")) if lemma else F.col("surface"))
-    group = [*keys, "sent_no", "group_no"]
     terms = group_terms(named, group)
-    counts = sentence_counts(
-        message_sentences(spread, keys, text, stop_words, dedupe=False).select(
-            *keys, "sent_no", "words"
-        )
-    )
-    scored = sparse_scores(indexed_candidates(terms.join(counts, [*keys, "sent_no"]), index))
-    ranked = top_triples(scored, group, index.k)
+    short, long = _split_sentences(turns, keys, text, stop_words, long_words, dedupe=False)
+    short_terms = terms.join(short.select(*sentence, "tf", "norm"), sentence)
+    long_terms = terms.join(long.select(*sentence, "norm"), sentence)
+    columns = [*group, *TRIPLE, "score"]
+    scored = short_scores(short_terms, index).select(*columns)
+    rest = long_scores(long_terms, long, index, sentence).select(*columns)
+    ranked = top_triples(scored.unionByName(rest), group, index.k)
     place = [turn, "sent_no", "group_no", "rank"]
     first = F.min(F.struct(*place, "score")).alias("p")
     return ranked.groupBy(conv, *TRIPLE).agg(first).select(

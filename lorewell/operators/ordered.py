@@ -112,9 +112,9 @@ def with_neighbour(
 def dense_rank_by_digest(df: DataFrame, group: Sequence[str], digest: str, out: str) -> DataFrame:
     """Number the rows of a group from 1 in the order of a hex digest column.
 
-    The digest's first four figures are the blocks, so each is an even share.
+    The digest's first five figures are the blocks, so each is an even share.
     """
-    block = F.conv(F.substring(digest, 1, 4), 16, 10).cast("bigint")
+    block = F.conv(F.substring(digest, 1, 5), 16, 10).cast("bigint")
     return running(
         df, group, digest, sums={out: F.lit(1).cast("bigint")}, block=block
     ).drop("is_last")

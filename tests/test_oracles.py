@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from lorewell.plans import queries
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -19,12 +20,21 @@ def db():
     return con
 
 
+@pytest.fixture(scope="module")
+def one_index(spark):
+    """Build the edge index once for all queries here; `entry` builds its own."""
+    built = queries.edge_index(spark, SF_DIR)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(queries, "edge_index", lambda *_: built)
+        yield
+
+
 def test_every_query_has_sql():
     assert set(contract.queries()) == set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(contract.queries()))
-def test_same_rows(spark, db, name):
+def test_same_rows(spark, db, one_index, name):
     df = contract.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
     left = sorted(repr(tuple(r)) for r in df.select(*columns).collect())

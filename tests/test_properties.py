@@ -115,6 +115,26 @@ def test_long_sentences_take_another_way_to_the_same(spark, long_words):
     assert got == {i: t for i, t in brute_force(texts, data, 3).items() if t}
 
 
+@pytest.mark.parametrize("long_words", [0, 4, 1000])
+def test_context_equals_one_long_message(spark, long_words):
+    data, edges = random_edges(spark, 13)
+    texts, _ = random_messages(spark, 14, 12)
+    turns = spark.createDataFrame(
+        [(i // 4, i % 4, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string"
+    )
+    index = K.index_edges(edges, 3, 5)
+    rows = K.context_knowledge(turns, index, long_words=long_words).collect()
+    for conv in range(3):
+        for turn in range(4):
+            context = "\n".join(texts[conv * 4 : conv * 4 + turn + 1])
+            known = {
+                (r["start"], r["relation"], r["end"])
+                for r in rows
+                if r["conv_id"] == conv and r["turn"] <= turn
+            }
+            assert known == set(brute_force([context], data, 3)[0])
+
+
 def test_extraction_without_broadcast(spark):
     data, edges = random_edges(spark, 5)
     texts, messages = random_messages(spark, 6)
