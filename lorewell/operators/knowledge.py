@@ -191,9 +191,8 @@ def indexed_candidates(terms: DataFrame, index: EdgeIndex) -> DataFrame:
         hubs = broadcast_if_small(index.hubs.select(F.col("start").alias("hub")))
         words = F.concat(F.array(F.lit("")), F.map_keys("tf"))
         flagged = terms.join(hubs, terms["term"] == hubs["hub"], "left")
-        probes = flagged.withColumn(
-            "probe", F.explode(F.when(F.col("hub").isNotNull(), words).otherwise(F.slice(words, 1, 1)))
-        ).drop("hub")
+        asked = F.when(F.col("hub").isNotNull(), words).otherwise(F.slice(words, 1, 1))
+        probes = flagged.withColumn("probe", F.explode(asked)).drop("hub")
     edges = broadcast_if_small(index.edges)
     met = probes.join(
         edges, (probes["term"] == edges["start"]) & (probes["probe"] == edges["word"]), "inner"
