@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorewell.llm.packing import op1_best_fit_packing
+from lorewell.llm.token_counts import op8_token_counts
+from lorewell.llm.token_files import op3_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     run.__name__: run
     for run in (
         op1_best_fit_packing,
+        op3_token_files,
+        op8_token_counts,
     )
 }
 ORACLES: dict[str, str] = {}
