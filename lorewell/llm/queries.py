@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorewell.llm.language import op5_language_id
 from lorewell.llm.packing import op1_best_fit_packing
+from lorewell.llm.secrets import op2_secret_scan
+from lorewell.llm.simhash import op4_simhash_near_dedup
 from lorewell.llm.token_counts import op8_token_counts
 from lorewell.llm.token_files import op3_token_files
 
@@ -15,7 +18,10 @@ QUERIES: dict[str, Query] = {
     run.__name__: run
     for run in (
         op1_best_fit_packing,
+        op2_secret_scan,
         op3_token_files,
+        op4_simhash_near_dedup,
+        op5_language_id,
         op8_token_counts,
     )
 }
