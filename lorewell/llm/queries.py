@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorewell.llm.impact_search import OP6_SQL, op6_exact_top_k
 from lorewell.llm.language import op5_language_id
+from lorewell.llm.learned_partitions import op10_nearest_neighbours
+from lorewell.llm.mixing import op9_mix_sources
 from lorewell.llm.packing import op1_best_fit_packing
 from lorewell.llm.secrets import op2_secret_scan
 from lorewell.llm.simhash import op4_simhash_near_dedup
@@ -22,7 +25,10 @@ QUERIES: dict[str, Query] = {
         op3_token_files,
         op4_simhash_near_dedup,
         op5_language_id,
+        op6_exact_top_k,
         op8_token_counts,
+        op9_mix_sources,
+        op10_nearest_neighbours,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_exact_top_k": OP6_SQL}
