@@ -24,12 +24,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm.pretokens import chunks
-from lorewell.llm.shared import map_batches, table
+from lorewell.llm.shared import map_batches, slices, table
 
 UNKNOWN = "und"
 LANGUAGES = 64
@@ -41,7 +42,7 @@ WIDTH = 512
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     """Is the remainder of crc32(doc_id as text) by 4 equal to 2? Null for a null doc_id."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
 
@@ -181,23 +182,39 @@ def learn_references(
     return tuple(references)
 
 
+def _guesses(texts: list[str | None], references: tuple[tuple[str, bytes], ...]) -> list[tuple[str, float]]:
+    out = []
+    for group in chunks((x or "" for x in texts), limit=2_000_000):
+        guesses = [(UNKNOWN, 0.0)] * len(group)
+        known = [i for i, x in enumerate(group) if references and LETTER.search(x)]
+        if known:
+            for i, guess in zip(known, parser(references).predict([group[i] for i in known])):
+                guesses[i] = guess
+        out += guesses
+    return out
+
+
+def guessed(text: Column, references: tuple[tuple[str, bytes], ...]) -> Column:
+    """The language of each text, as a column."""
+
+    @F.pandas_udf("string")
+    def guess(texts: pd.Series) -> pd.Series:
+        values = texts.astype(object).where(texts.notna(), None).tolist()
+        return pd.Series(
+            [name for i in range(0, len(values), 500) for name, _ in _guesses(values[i : i + 500], references)],
+            dtype=object,
+        )
+
+    return guess(text.cast("string"))
+
+
 def predict_languages(docs: DataFrame, references: tuple[tuple[str, bytes], ...]) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        found = parser(references) if references else None
-        for batch in batches:
-            names, held, texts = (c.to_pylist() for c in batch.columns)
-            done = 0
-            for group in chunks((x or "" for x in texts), limit=2_000_000):
-                out = [(UNKNOWN, 0.0)] * len(group)
-                known = [i for i, x in enumerate(group) if found and LETTER.search(x)]
-                if known:
-                    for i, guess in zip(known, found.predict([group[i] for i in known])):
-                        out[i] = guess
-                for i, guess in enumerate(out):
-                    yield names[done + i], held[done + i], *guess
-                done += len(group)
+        for names, flags, texts in slices(batches):
+            for name, held, guess in zip(names, flags, _guesses(texts, references)):
+                yield name, held, *guess
 
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),

@@ -112,8 +112,8 @@ def fit_router(x: np.ndarray, parts: int) -> Router:
     """Graph, parts and network from a sample; probes from the sample's own neighbours."""
     random = np.random.default_rng(1)
     width = x.shape[1]
-    mean = x.mean(0)
-    scale = 1 / max(1e-30, float(np.abs(x - mean).std()))
+    mean = x.mean(0) if len(x) else np.zeros(width)
+    scale = 1 / max(1e-30, float((x - mean).std()) if len(x) else 1.0)
     router = Router(
         mean, scale, random.normal(0, math.sqrt(2 / width), (width, HIDDEN)), np.zeros(HIDDEN),
         random.normal(0, math.sqrt(1 / HIDDEN), (HIDDEN, parts)), np.zeros(parts), 1,

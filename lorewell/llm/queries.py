@@ -15,6 +15,7 @@ from lorewell.llm.secrets import op2_secret_scan
 from lorewell.llm.simhash import op4_simhash_near_dedup
 from lorewell.llm.token_counts import op8_token_counts
 from lorewell.llm.token_files import op3_token_files
+from lorewell.llm.url_filter import op7_url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
@@ -26,6 +27,7 @@ QUERIES: dict[str, Query] = {
         op4_simhash_near_dedup,
         op5_language_id,
         op6_exact_top_k,
+        op7_url_filter,
         op8_token_counts,
         op9_mix_sources,
         op10_nearest_neighbours,

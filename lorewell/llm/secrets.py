@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm.shared import map_batches, table, text_of
+from lorewell.llm.shared import map_batches, slices, table, text_of
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = 3
@@ -124,8 +124,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for name, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for part in slices(batches):
+            for name, text in zip(*part):
                 spans = find_secrets(text)
                 base = [x for x in spans if x[1] < BASE]
                 counts = [sum(x[1] == kind for x in base) for kind in range(BASE)]

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from lorewell.operators.scratch import scratch_path, shuffle_partitions, written
 
 __all__ = ["as_batches", "map_batches", "parts_for", "scratch_path", "shuffle_partitions",
-           "table", "text_of", "tokenizer_path", "written"]
+           "slices",            "table", "text_of", "tokenizer_path", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,13 @@ def _batch(arrow: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[list[list]]:
+    """Columns as lists, a few rows at a time, so that long texts are not all held twice."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield [c.to_pylist() for c in batch.slice(i, rows).columns]
+
+
 def map_batches(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], schema: str
 ) -> DataFrame:

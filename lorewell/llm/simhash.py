@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm.components import components
-from lorewell.llm.shared import map_batches, shuffle_partitions, table, text_of, written
+from lorewell.llm.shared import map_batches, shuffle_partitions, slices, table, text_of, written
 
 SHINGLE = 4
 BITS = 4
@@ -62,8 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...]
     """doc_id, fp (64 bits in a bigint) and the columns `also` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            *names, texts = (c.to_pylist() for c in batch.columns)
+        for *names, texts in slices(batches):
             for *row, text in zip(*names, texts):
                 value = fingerprint(text, shingle)
                 yield *row, value - (1 << 64) if value >> 63 else value

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lorewell.llm.pretokens import chunks, encoder
 from lorewell.llm.shared import (
-    map_batches, scratch_path, shuffle_partitions, table, text_of, tokenizer_path, written,
+    map_batches, scratch_path, shuffle_partitions, slices, table, text_of, tokenizer_path, written,
 )
 
 END = 1
@@ -127,8 +127,7 @@ def write_token_files(
         name = uuid.uuid4().hex  # of this attempt alone
         writer = index = None
         documents = tokens = 0
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for names, texts in slices(batches):
             if writer is None and texts:
                 store.create_dir(folder, recursive=True)
                 sinks = [store.open_output_stream(f"{folder}/{name}.{x}.arrow") for x in ("ids", "docs")]
