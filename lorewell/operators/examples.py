@@ -38,14 +38,15 @@ def validate_examples(lines: DataFrame) -> DataFrame:
 def bst_examples(lines: DataFrame, skip_empty: bool = False) -> DataFrame:
     """Valid lines as examples with knowledge behind the text, numbered by episode.
 
-    An episode ends with a line marked done; the last one of a file is closed.
+    An episode ends with a line marked done, valid or not; the last valid line of each is
+    closed. `n_lines` is the last line of the file, valid or not.
     """
-    valid = validate_examples(lines).filter(F.size("errors") == 0)
+    parsed = validate_examples(lines)
     f = F.col("fields")
     items = K.parse_items(L.unescape_field(L.field_value(f, "concepts")))
     done = F.coalesce(L.field_value(f, "episode_done"), F.lit("")) != ""
     labels = F.transform(F.split(L.field_value(f, "labels"), "\\|", -1), L.unescape_field)
-    rows = valid.select(
+    rows = parsed.select(
         "file",
         "line_no",
         K.append_knowledge(
@@ -53,16 +54,24 @@ def bst_examples(lines: DataFrame, skip_empty: bool = False) -> DataFrame:
         ).alias("text"),
         labels.alias("labels"),
         done.alias("done"),
+        (F.size("errors") == 0).alias("valid"),
     )
     ended = F.col("done").cast("bigint")
-    numbered = running(rows, ["file"], "line_no", sums={"_ended": ended})
-    return numbered.select(
+    numbered = running(rows, ["file"], "line_no", sums={"_ended": ended}).withColumn(
+        "episode_id", F.col("_ended") - ended
+    )
+    # One row per episode and per file, found in one pass each.
+    last = numbered.filter("valid").groupBy("file", "episode_id").agg(F.max("line_no").alias("_last"))
+    files = numbered.groupBy("file").agg(F.max("line_no").alias("n_lines"))
+    closed = numbered.filter("valid").join(last, ["file", "episode_id"]).join(files, "file")
+    return closed.select(
         "file",
-        (F.col("_ended") - ended).alias("episode_id"),
+        "episode_id",
         "line_no",
         "text",
         "labels",
-        (F.col("done") | F.col("is_last")).alias("episode_done"),
+        (F.col("line_no") == F.col("_last")).alias("episode_done"),
+        "n_lines",
     )
 
 
@@ -78,8 +87,8 @@ def episode_stats(examples: DataFrame) -> DataFrame:
     """Examples and episodes per file; flags a file that looks like one long episode."""
     stats = examples.groupBy("file").agg(
         F.count("*").alias("n_examples"),
-        (F.max("episode_id") + 1).alias("n_episodes"),
-        F.max("line_no").alias("n_lines"),
+        F.count_distinct("episode_id").alias("n_episodes"),
+        F.max("n_lines").alias("n_lines"),
     )
     one_long = (F.col("n_episodes") == 1) & (F.col("n_lines") > LONG_EPISODE)
     return stats.withColumn("one_long_episode", one_long)
@@ -306,6 +315,6 @@ def sample_contexts(
     numbered = dense_rank_by_digest(contexts.withColumn("_d", digest), [], "_d", "_no").drop("_d")
     n = contexts.select(F.count("*").alias("n")).scalar()
     drawn = F.conv(
-        F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(episode).cast("string"))), 1, 8), 16, 10
+        F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(episode).cast("string"))), 1, 15), 16, 10
     ).cast("bigint")
     return episodes.withColumn("_no", drawn % n + 1).join(numbered, "_no").drop("_no")

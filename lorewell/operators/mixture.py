@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewell.functions.lines import truncate_words
-from lorewell.operators.ordered import BLOCK_ROWS, dense_rank_by_digest, with_reach
+from lorewell.operators.ordered import BLOCK_ROWS, dense_rank_by_digest, running, with_reach
 
 # Training mixture and text limits of the two model sizes.
 LARGE_MIXTURE = {"bst": 1, "wow": 3, "convai": 3, "empathy": 3}
 SMALL_MIXTURE = {"bst": 1, "wow": 3, "convai": 3}
 LARGE_LIMITS = {"text": 128, "label": 128}
 SMALL_LIMITS = {"text": 512, "label": 128}
+COPIES_AT_ONCE = 10_000
 
 
 def mix_datasets(
@@ -51,15 +52,19 @@ def mix_datasets(
     quotas = F.broadcast(sizes.select("dataset", "_size", quota.alias("_quota")))
     full = F.floor(F.col("_quota") / F.col("_size"))
     extra = (F.col("_place") <= F.col("_quota") % F.col("_size")).cast("bigint")
-    copies = (full + extra).cast("int")
-    rows = ranked.join(quotas, "dataset").filter(copies > 0)
-    numbers = F.sequence(F.lit(0).cast("bigint"), (copies - 1).cast("bigint"))
-    return rows.withColumn("copy", F.explode(numbers)).drop("_place", "_size", "_quota")
+    rows = ranked.join(quotas, "dataset").withColumn("_copies", full + extra).filter("_copies > 0")
+    # In two steps, so that no row holds an array of all its repeats.
+    step = F.lit(COPIES_AT_ONCE).cast("bigint")
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1, step)
+    spread = rows.withColumn("_from", F.explode(starts))
+    last = F.least(F.col("_from") + step, F.col("_copies")) - 1
+    return spread.withColumn("copy", F.explode(F.sequence("_from", last))).drop(
+        "_place", "_size", "_quota", "_copies", "_from"
+    )
 
 
 def history_text(
     turns: DataFrame,
-    reach: int = 128,
     conv: str = "conv_id",
     turn: str = "turn",
     text: str = "text",
@@ -68,21 +73,30 @@ def history_text(
     max_words: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Add `history`: the turns up to this one, at most `reach` back, joined.
+    """Add `history`: all turns up to this one, joined.
 
-    A text limit of n words cannot see more than n turns back, so `reach` bounds
-    the work without changing a truncated result; a conversation of any length
-    is cut into blocks of turns.
+    With `max_words` the history is cut to its last words. A turn takes one place at
+    least, so no more than `max_words` turns can be seen; turns are counted first, and
+    a conversation of any length is cut into blocks of that count. Without it the
+    result itself grows with the square of a conversation.
     """
-    blocked = with_reach(turns, turn, before=reach, block_rows=block_rows)
-    frame = W.partitionBy(conv, "_block").orderBy(turn).rangeBetween(-reach, 0)
-    joined = F.array_join(F.collect_list(text).over(frame), delimiter)
-    if end_token:
-        joined = F.concat(joined, F.lit(delimiter + end_token))
-    out = blocked.withColumn("history", joined).filter("_own").drop("_own", "_block")
-    if max_words is not None:
-        out = out.withColumn("history", truncate_words("history", max_words, side="left"))
-    return out
+    if max_words is None:
+        frame = W.partitionBy(conv).orderBy(turn).rowsBetween(W.unboundedPreceding, 0)
+        return turns.withColumn("history", _joined_history(text, frame, delimiter, end_token))
+    placed = running(
+        turns, [conv], turn, sums={"_place": F.lit(1).cast("bigint")}, block_rows=block_rows
+    ).drop("is_last")
+    blocked = with_reach(placed, "_place", before=max_words, block_rows=block_rows)
+    frame = W.partitionBy(conv, "_block").orderBy("_place").rangeBetween(-max_words, 0)
+    history = truncate_words(_joined_history(text, frame, delimiter, end_token), max_words, "left")
+    return blocked.withColumn("history", history).filter("_own").drop("_own", "_block", "_place")
+
+
+def _joined_history(text: str, frame, delimiter: str, end_token: str | None) -> Column:
+    # a null turn is an empty one, as a collected list would leave it out
+    said = F.collect_list(F.coalesce(text, F.lit(""))).over(frame)
+    joined = F.array_join(said, delimiter)
+    return F.concat(joined, F.lit(delimiter + end_token)) if end_token else joined
 
 
 def truncate_examples(

@@ -17,7 +17,6 @@ RELATIONS = (
     "PartOf Causes HasA HasProperty MannerOf SimilarTo Desires MadeOf ReceivesAction"
 ).split()
 
-EPISODE_TURNS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,15 +146,19 @@ def two_words(text: Column | str = "text") -> Column:
     return F.slice(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), 1, 2)
 
 
-def bst_lines(conversations: DataFrame, concepts: bool = False) -> DataFrame:
+def bst_lines(
+    conversations: DataFrame, concepts: bool = False, broken: bool = False
+) -> DataFrame:
+    """`broken`: the closing line of some conversations has no labels."""
+    closes = F.col("turn") + 1 == F.col("last_turn")
+    no_labels = F.lit(broken) & closes & (F.col("conv_id") % 7 == 3)
     done = F.when(F.col("turn") + 1 == F.col("last_turn"), F.lit("\tepisode_done:True"))
     parts = [
         F.lit("text:"),
         F.coalesce("prev", F.lit("")),
         F.lit("\tfree_message:"),
         F.col("text"),
-        F.lit("\tlabels:"),
-        F.col("next"),
+        F.when(no_labels, F.lit("")).otherwise(F.concat(F.lit("\tlabels:"), "next")),
         F.coalesce(done, F.lit("")),
     ]
     if concepts:
@@ -203,8 +206,8 @@ def ed_lines(conversations: DataFrame, concepts: bool = False) -> DataFrame:
 
 
 def _episodes(conversations: DataFrame, entry: Column) -> DataFrame:
-    """Entries in order, one row per conversation and 64 turns."""
-    part = F.floor(F.col("turn") / EPISODE_TURNS).cast("bigint")
+    """Entries in order, one row per conversation."""
+    part = F.lit(0).cast("bigint")
     listed = F.collect_list(F.struct("turn", entry.alias("e")))
     return (
         conversations.withColumn("part", part)

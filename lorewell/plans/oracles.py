@@ -427,10 +427,10 @@ SELECT DISTINCT file, 1,
 )
 
 ORACLES["augment_wow"] = f"""WITH {_knowledge("conversations")}, {CELLS}
-SELECT conv_id, turn // 64 AS part, arg_min({TWO}[1], turn) AS chosen_topic,
+SELECT conv_id, CAST(0 AS BIGINT) AS part, arg_min({TWO}[1], turn) AS chosen_topic,
   string_agg(CASE WHEN role = 'assistant' THEN '1_Wizard' ELSE '0_Apprentice' END || ':' || text
     || coalesce(k.enveloped, ''), chr(10) ORDER BY turn) AS dialog
-FROM conversations LEFT JOIN cells k USING (conv_id, turn) GROUP BY conv_id, turn // 64"""
+FROM conversations LEFT JOIN cells k USING (conv_id, turn) GROUP BY conv_id"""
 
 ORACLES["backport"] = f"""WITH {PLACED}, {BST}, by_text AS (
   SELECT text, arg_max(two, conv_id * 1000000 + turn) AS two
@@ -442,21 +442,26 @@ FROM lines l JOIN by_text b ON b.text = l.text"""
 # --- examples --------------------------------------------------------------
 
 ENVELOPED = "chr(10) || '__knowledge__' || {0} || '__endknowledge__'"
+NO_LABELS = "(turn + 1 = last_turn AND conv_id % 7 = 3)"
 ORACLES["bst_examples"] = f"""WITH {PLACED}, {BST}, e AS (
-  SELECT *, turn + 1 = last_turn AS done FROM lines)
-SELECT file, line_no,
-  CAST(coalesce(sum(CASE WHEN done THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line_no
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS episode_id,
+  SELECT *, turn + 1 = last_turn AS done FROM lines),
+n AS (
+  SELECT *, NOT {NO_LABELS} AS valid, max(line_no) OVER (PARTITION BY file) AS n_lines,
+    CAST(coalesce(sum(CASE WHEN done THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line_no
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS episode_id FROM e)
+SELECT file, line_no, episode_id,
   coalesce(prev, '') || {ENVELOPED.format("array_to_string(two, '. ')")} AS text,
-  next AS labels,
-  done OR line_no = max(line_no) OVER (PARTITION BY file) AS episode_done
-FROM e"""
-ORACLES["episode_stats"] = f"""WITH {PLACED}, {BST}
-SELECT file, count(*) AS n_examples, count(DISTINCT conv_id) AS n_episodes,
-  max(line_no) AS n_lines, count(DISTINCT conv_id) = 1 AND max(line_no) > 100 AS one_long_episode
-FROM lines GROUP BY file"""
+  next AS labels, n_lines,
+  line_no = max(line_no) OVER (PARTITION BY file, episode_id) AS episode_done
+FROM n WHERE valid"""
+ORACLES["episode_stats"] = f"""WITH {PLACED}, {BST}, n AS (
+  SELECT *, max(line_no) OVER (PARTITION BY file) AS all_lines FROM lines)
+SELECT file, count(*) AS n_examples, count(DISTINCT conv_id) AS n_episodes, max(all_lines) AS n_lines,
+  count(DISTINCT conv_id) = 1 AND max(all_lines) > 100 AS one_long_episode
+FROM n WHERE NOT {NO_LABELS} GROUP BY file"""
 ORACLES["validate_examples"] = f"""WITH {PLACED}, {BST}
-SELECT file, line_no, 'missing concepts in line ' || line_no AS errors FROM lines"""
+SELECT file, line_no, CASE WHEN {NO_LABELS} THEN 'missing labels in line ' || line_no || '; ' ELSE '' END
+  || 'missing concepts in line ' || line_no AS errors FROM lines"""
 ORACLES["ed_examples"] = f"""WITH {PLACED}, l AS (
   SELECT *, seq + 1 AS line_no, {TWO} AS two FROM placed),
 p AS (
@@ -474,7 +479,7 @@ SELECT file, run_start, line_no, turn + 1 AS turn,
   CASE WHEN turn % 2 = 1 THEN 'experiencer' ELSE 'responder' END AS context_role
 FROM p WHERE prev IS NOT NULL"""
 ORACLES["wow_examples"] = f"""WITH e AS (
-  SELECT *, turn // 64 AS part, turn % 64 AS pos, {TWO} AS two FROM conversations),
+  SELECT *, CAST(0 AS BIGINT) AS part, turn AS pos, {TWO} AS two FROM conversations),
 d AS (
   SELECT *, first_value(role) OVER w = 'assistant' AS opens, first_value(two[1]) OVER w AS topic,
     lead(text) OVER w AS answer, max(pos) OVER (PARTITION BY conv_id, part) AS last_pos
@@ -510,7 +515,7 @@ FROM conversations LEFT JOIN p ON p.vec_id = conv_id"""
 ORACLES["sample_contexts"] = """WITH o AS (SELECT conv_id, text FROM conversations WHERE turn = 0),
 c AS (SELECT *, row_number() OVER (ORDER BY md5('7:' || conv_id)) AS no FROM o),
 e AS (
-  SELECT conv_id, CAST('0x' || substr(md5('7:' || conv_id), 1, 8) AS BIGINT)
+  SELECT conv_id, CAST('0x' || substr(md5('7:' || conv_id), 1, 15) AS BIGINT)
     % (SELECT count(*) FROM o) + 1 AS no FROM o)
 SELECT e.conv_id AS episode_id, c.conv_id AS context_id, c.text AS context FROM e JOIN c USING (no)"""
 ORACLES["mix_datasets"] = f"""WITH r AS (
@@ -525,7 +530,7 @@ k AS (SELECT *, quota // size + CASE WHEN place <= quota % size THEN 1 ELSE 0 EN
 SELECT dataset, id, unnest(range(n)) AS copy FROM k"""
 ORACLES["truncate_history"] = """WITH h AS (
   SELECT conv_id, turn, text, string_split(string_agg(text, '  ') OVER (PARTITION BY conv_id
-    ORDER BY turn ROWS BETWEEN 32 PRECEDING AND CURRENT ROW) || '  __end__', ' ') AS ws
+    ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) || '  __end__', ' ') AS ws
   FROM conversations)
 SELECT conv_id, turn, array_to_string(ws[-32:], ' ') AS history,
   array_to_string(string_split(text, ' ')[1:12], ' ') AS label FROM h"""

@@ -282,19 +282,19 @@ def stream_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bst_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fx.bst_lines(conversations(spark, sf_dir), concepts=True)
+    lines = fx.bst_lines(conversations(spark, sf_dir), concepts=True, broken=True)
     return X.bst_examples(lines).withColumn("labels", F.array_join("labels", "|"))
 
 
 @query
 def episode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fx.bst_lines(conversations(spark, sf_dir), concepts=True)
+    lines = fx.bst_lines(conversations(spark, sf_dir), concepts=True, broken=True)
     return X.episode_stats(X.bst_examples(lines))
 
 
 @query
 def validate_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fx.bst_lines(conversations(spark, sf_dir))
+    lines = fx.bst_lines(conversations(spark, sf_dir), broken=True)
     checked = X.validate_examples(lines)
     return checked.select("file", "line_no", F.array_join("errors", "; ").alias("errors"))
 
@@ -379,7 +379,7 @@ def mix_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def truncate_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversations(spark, sf_dir).select(*TURN, "text")
-    out = M.history_text(turns, reach=32, max_words=32)
+    out = M.history_text(turns, max_words=32)
     return out.select(*TURN, "history", truncate_words("text", 12, "right").alias("label"))
 
 

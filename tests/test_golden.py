@@ -441,8 +441,13 @@ def test_history_and_truncation(spark):
     got = {r["turn"]: r["history"] for r in M.history_text(turns).collect()}
     assert got == {0: "a b  __end__", 1: "a b  c  __end__", 2: "a b  c  d  __end__"}
     for block_rows in (1, 2, 100):
-        two = M.history_text(turns, reach=1, end_token=None, block_rows=block_rows)
-        assert {r["turn"]: r["history"] for r in two.collect()} == {0: "a b", 1: "a b  c", 2: "c  d"}
+        cut = M.history_text(turns, end_token=None, max_words=3, block_rows=block_rows)
+        assert {r["turn"]: r["history"] for r in cut.collect()} == {0: "a b", 1: "b  c", 2: "c  d"}
+    gaps = spark.range(300).selectExpr("1L AS conv_id", "id * 10 AS turn", "string(id) AS text")
+    whole = M.history_text(gaps, end_token=None).filter("turn = 2990").first()["history"]
+    assert whole == "  ".join(map(str, range(300)))
+    last = M.history_text(gaps, end_token=None, max_words=31, block_rows=7).filter("turn = 2990").first()
+    assert last["history"] == "  ".join(map(str, range(284, 300)))
     assert one(spark, lines.truncate_words("t", 2, "left"), t="a b c") == "b c"
     assert one(spark, lines.truncate_words("t", 2, "right"), t="a b c") == "a b"
     assert one(spark, lines.truncate_words("t", 5, "left"), t="a b c") == "a b c"
