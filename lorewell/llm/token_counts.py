@@ -13,28 +13,39 @@ from files, or written first: batches are known by their place in it.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm.pretokens import CACHED, chunks, encoder, split_pretokens
-from lorewell.llm.shared import map_batches, shuffle_partitions, table, text_of, tokenizer_path
+from lorewell.llm.shared import (
+    map_batches, shuffle_partitions, slices, table, text_of, tokenizer_path,
+)
 
 LIMIT = 1024
-# Shards per partition, so that hashing spreads them evenly.
-SHARDS = 4
+# At least so many shards of the dictionary, and four per partition, so that hashing spreads them.
+SHARDS = 256
+# Characters of the documents that share one list of distinct pre-tokens.
+BATCH_CHARS = 3_000_000
 PACKED = (
-    "shard int, batch bigint, tokens array<string>, spread binary, docs binary, times binary, "
+    "shard int, batch bigint, packed binary, "
     "names array<bigint>, sizes array<bigint>, fixed array<bigint>"
 )
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """In the narrowest unsigned type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
 def _frequencies(path: str, shards: int):
     """Rows of PACKED: for each shard its distinct pre-tokens and (document, times) of each."""
 
@@ -52,10 +63,11 @@ def _frequencies(path: str, shards: int):
                 elif normal:
                     parts.append(normal)
                     owner_of.append(i)
+        press = zstandard.ZstdCompressor(level=3)
         header = names, [len(x.encode()) for x in texts], fixed.tolist()
         tokens, number, part = split_pretokens(parts, coder.spaced)
         if not tokens:
-            yield 0, batch, [], b"", b"", b"", *header
+            yield 0, batch, None, *header
             return
         pair, times = np.unique(
             number * len(texts) + np.array(owner_of, np.int64)[part], return_counts=True
@@ -65,7 +77,8 @@ def _frequencies(path: str, shards: int):
         by_shard = np.argsort(shard, kind="stable")
         spread = np.bincount(token, minlength=len(tokens))
         order = np.argsort(shard[token], kind="stable")  # pairs are sorted by token already
-        document, times = document[order].astype("<u4"), times[order].astype("<u4")
+        document, times = _narrow(document[order]), _narrow(times[order])
+        spread = _narrow(spread)
         ends = np.searchsorted(shard[by_shard], np.arange(shards), "right")
         pair_ends = np.cumsum(np.bincount(shard[token], minlength=shards))
         begin = pair_begin = 0
@@ -73,21 +86,19 @@ def _frequencies(path: str, shards: int):
             end, pair_end = int(ends[k]), int(pair_ends[k])
             if end > begin:
                 own = by_shard[begin:end]
-                yield (
-                    k, batch, [tokens[i] for i in own], spread[own].astype("<u4").tobytes(),
-                    document[pair_begin:pair_end].tobytes(), times[pair_begin:pair_end].tobytes(),
-                    *header,
+                content = (
+                    [tokens[i] for i in own], spread[own], document[pair_begin:pair_end], times[pair_begin:pair_end]
                 )
+                yield k, batch, press.compress(pickle.dumps(content, 5)), *header
                 header = None, None, None
             begin, pair_begin = end, pair_end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         coder = encoder(path)
         number = TaskContext.get().partitionId() << 33
-        for rows in batches:
-            names, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+        for names, texts in slices(batches, 2_000):
             done = 0
-            for group in chunks(texts):
+            for group in chunks(texts, BATCH_CHARS):
                 yield from pack(coder, number, names[done : done + len(group)], group)
                 number, done = number + 1, done + len(group)
 
@@ -98,23 +109,25 @@ def _counted(path: str, cached: int = CACHED):
     """Join a shard's pre-tokens with their numbers of pieces; sums per batch and document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        library = encoder(path).library
+        library, press = encoder(path).library, zstandard.ZstdDecompressor()
+        squeeze = zstandard.ZstdCompressor(level=3)
         pieces: dict[str, int] = {}
         now, sums, header = None, np.zeros(0), (None, None, None)
 
         def result() -> tuple:
-            at = np.flatnonzero(sums)
-            return now, at.astype("<u4").tobytes(), sums[at].astype("<u8").tobytes(), *header
+            return now, squeeze.compress(pickle.dumps(_narrow(sums.astype(np.int64)), 5)), *header
 
         for rows in batches:
             for row in rows.to_pylist():
-                tokens = row["tokens"]
                 if row["batch"] != now:
                     if now is not None:
                         yield result()
                     now, sums, header = row["batch"], np.zeros(0), (None, None, None)
                 if row["names"] is not None:
                     header = row["names"], row["sizes"], row["fixed"]
+                if row["packed"] is None:
+                    continue
+                tokens, spread, docs, times = pickle.loads(press.decompress(row["packed"]))
                 new = [x for x in tokens if x not in pieces]
                 if len(pieces) + len(new) > cached:
                     pieces.clear()
@@ -122,10 +135,7 @@ def _counted(path: str, cached: int = CACHED):
                 coded = library.encode_batch_fast(new, add_special_tokens=False)
                 pieces.update((x, len(y.ids)) for x, y in zip(new, coded))
                 counts = np.fromiter(map(pieces.__getitem__, tokens), np.int64, len(tokens))
-                each = np.repeat(counts, np.frombuffer(row["spread"], "<u4"))
-                more = np.bincount(
-                    np.frombuffer(row["docs"], "<u4"), each * np.frombuffer(row["times"], "<u4")
-                )
+                more = np.bincount(docs, np.repeat(counts, spread) * times.astype(np.int64))
                 if len(more) < len(sums):
                     more, sums = sums, more
                 more[: len(sums)] += sums
@@ -138,26 +148,27 @@ def _counted(path: str, cached: int = CACHED):
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Sums of all shards per document; rows of a batch follow each other."""
-    now, total, header = None, np.zeros(0), (None, None, None)
+    press = zstandard.ZstdDecompressor()
+    now, total, header = None, np.zeros(0, np.int64), (None, None, None)
 
     def result() -> Iterator[tuple]:
         names, sizes, fixed = header
         out = np.array(fixed, np.int64)
-        out[: len(total)] += total.astype(np.int64)
+        out[: len(total)] += total
         yield from zip(names, sizes, out.tolist())
 
     for rows in batches:
-        for batch, docs, sums, *head in zip(*(c.to_pylist() for c in rows.columns)):
+        for batch, packed, *head in zip(*(c.to_pylist() for c in rows.columns)):
             if batch != now:
                 if now is not None:
                     yield from result()
-                now, total, header = batch, np.zeros(0), (None, None, None)
+                now, total, header = batch, np.zeros(0, np.int64), (None, None, None)
             if head[0] is not None:
                 header = tuple(head)
-            at = np.frombuffer(docs, "<u4")
-            if len(at) and at[-1] >= len(total):
-                total = np.concatenate([total, np.zeros(int(at[-1]) + 1 - len(total))])
-            total[at] += np.frombuffer(sums, "<u8")
+            sums = pickle.loads(press.decompress(packed))
+            if len(sums) > len(total):
+                total = np.concatenate([total, np.zeros(len(sums) - len(total), np.int64)])
+            total[: len(sums)] += sums
     if now is not None:
         yield from result()
 
@@ -167,12 +178,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     parts = shuffle_partitions(docs)
     packed = map_batches(
         docs.select(F.col("doc_id").cast("bigint"), text_of()),
-        _frequencies(path, SHARDS * parts), PACKED,
+        _frequencies(path, max(SHARDS, 4 * parts)), PACKED,
     )
     by_shard = packed.repartition(parts, "shard").sortWithinPartitions("batch")
     partial = map_batches(
         by_shard, _counted(path),
-        "batch bigint, docs binary, sums binary, names array<bigint>, sizes array<bigint>, fixed array<bigint>",
+        "batch bigint, packed binary, names array<bigint>, sizes array<bigint>, fixed array<bigint>",
     )
     by_batch = partial.repartition(parts, "batch").sortWithinPartitions("batch")
     counts = map_batches(by_batch, _summed, "doc_id bigint, n_bytes bigint, n_tokens bigint")
