@@ -31,7 +31,7 @@ from lorewell.llm.vectors import (
 )
 
 K = 5
-LEVELS = 16
+LEVELS = 64
 # Segments are read in so many steps; after each a proof is tried.
 STEPS = 8
 FEW = 256
@@ -53,10 +53,9 @@ class ImpactIndex:
             low.append(found << shift)
             sizes.append(count)
             dims.append(np.full(len(found), dim))
-        self.rows = np.concatenate(rows)
+        self.segments = [part for order, count in zip(rows, sizes) for part in np.split(order, np.cumsum(count)[:-1])]
         self.dims, self.low, self.sizes = map(np.concatenate, (dims, low, sizes))
         self.slack = (1 << shift) - 1
-        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def top(self, query: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
         """Rows that hold the k best, proven; rows in `own` do not count."""
@@ -73,10 +72,8 @@ class ImpactIndex:
         step = -(-len(order) // STEPS)
         for first in range(0, len(order), step):
             read, unread = order[first : first + step], order[first + step :]
-            sizes = self.sizes[read]
-            ends = np.cumsum(sizes)
-            at = np.repeat(self.starts[read] - ends + sizes, sizes) + np.arange(ends[-1])
-            score += np.bincount(self.rows[at], np.repeat(least[read], sizes), n)
+            postings = np.concatenate([self.segments[i] for i in read.tolist()])
+            score += np.bincount(postings, np.repeat(least[read], self.sizes[read]), n)
             if first and 2 * first < len(order) - step:
                 continue
             low, high = np.zeros(width), np.zeros(width)
