@@ -15,7 +15,7 @@ from lorewell.llm.secrets import op2_secret_scan
 from lorewell.llm.simhash import op4_simhash_near_dedup
 from lorewell.llm.token_counts import op8_token_counts
 from lorewell.llm.token_files import op3_token_files
-from lorewell.llm.url_filter import op7_url_filter
+from lorewell.llm.url_filter import OP7_SQL, op7_url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
@@ -33,4 +33,4 @@ QUERIES: dict[str, Query] = {
         op10_nearest_neighbours,
     )
 }
-ORACLES: dict[str, str] = {"op6_exact_top_k": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_exact_top_k": OP6_SQL, "op7_url_filter": OP7_SQL}

@@ -133,3 +133,69 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> D
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def _sql_host(url: str) -> str:
+    return f"translate(regexp_extract({url}, '{_REST}', 1), '{UPPER}', '{LOWER}')"
+
+
+def _sql_path(url: str) -> str:
+    return f"regexp_extract({url}, '{_REST}', 2)"
+
+
+def _sql_rule(host: str, path: str, part: int) -> str:
+    """CASE over the rules, longest first; part 1: the rule, 0: its verdict."""
+    cases = []
+    for rule in sorted(RULES, key=lambda x: -len(x[1])):
+        name, slash, rest = rule[1].partition("/")
+        fits = f"({host} = '{name}' OR ends_with({host}, '.{name}')) AND starts_with({path}, '{slash}{rest}')"
+        cases.append(f"WHEN {fits} THEN '{rule[part]}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+def _sql_node(url: str) -> str:
+    path = f"CASE WHEN {_sql_path(url)} = '' THEN '/' ELSE {_sql_path(url)} END"
+    return f"CASE WHEN {_sql_host(url)} <> '' THEN {_sql_host(url)} || {path} || regexp_extract({url}, '{_REST}', 3) END"
+
+
+_SQL_QUOTED = _QUOTED.replace("'", "''")
+OP7_SQL = f"""
+WITH RECURSIVE p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+j AS (SELECT *, {_sql_host("url")} AS host, {_sql_path("url")} AS path, {_sql_node("url")} AS node FROM p),
+tags AS (
+  SELECT url, regexp_extract(tag, '(?is)\\bhref{_SQL_QUOTED}', 1) AS target
+  FROM (SELECT url, unnest(regexp_extract_all(html, '{_LINK}')) AS tag FROM p)
+  WHERE regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?\\s*canonical\\b')
+  UNION ALL
+  SELECT url, regexp_extract(tag, '(?is);\\s*url{_SQL_QUOTED}', 1) AS target
+  FROM (SELECT url, unnest(regexp_extract_all(html, '{_META}')) AS tag FROM p)
+  WHERE regexp_matches(tag, '(?i)\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh\\b')),
+based AS (
+  SELECT *, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, {_sql_path("url")} AS path,
+    regexp_extract({_sql_path("url")}, '(?s)^(.*/)', 1) AS folder, {_sql_host("url")} AS host
+  FROM tags WHERE target <> ''),
+links AS (
+  SELECT url AS u_url, CASE
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+    WHEN starts_with(target, '//') THEN scheme || ':' || target
+    WHEN starts_with(target, '/') THEN scheme || '://' || host || target
+    WHEN regexp_matches(target, '^[?#]') THEN scheme || '://' || host || path || target
+    ELSE scheme || '://' || host || CASE WHEN folder = '' THEN '/' ELSE folder END || target END AS v_url
+  FROM based),
+named AS (SELECT u_url, v_url, {_sql_node("u_url")} AS u, {_sql_node("v_url")} AS v FROM links),
+ends AS (
+  SELECT u AS node, u_url AS url FROM named WHERE u IS NOT NULL AND v IS NOT NULL
+  UNION SELECT v, v_url FROM named WHERE u IS NOT NULL AND v IS NOT NULL),
+said AS (
+  SELECT node, min({_sql_rule(_sql_host("url"), _sql_path("url"), 0)}) AS said FROM ends GROUP BY node),
+reach(a, b) AS (
+  SELECT node, node FROM ends
+  UNION
+  SELECT r.a, CASE WHEN r.b = n.u THEN n.v ELSE n.u END
+  FROM reach r JOIN named n ON (r.b = n.u AND n.v IS NOT NULL) OR (r.b = n.v AND n.u IS NOT NULL)),
+decided AS (SELECT a AS node, min(said) AS said FROM reach JOIN said ON b = said.node GROUP BY a)
+SELECT page_id, host, path, {_sql_rule("host", "path", 1)} AS rule,
+  coalesce({_sql_rule("host", "path", 0)}, said, 'allow') AS verdict
+FROM j LEFT JOIN decided USING (node)
+"""

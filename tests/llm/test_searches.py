@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lorewell.llm import impact_search, learned_partitions, vectors
-from lorewell.llm.url_filter import absolute, filter_urls, node_of
+from lorewell.llm.url_filter import OP7_SQL, absolute, filter_urls, node_of
 from lorewell.llm.vectors import usable_vectors
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, part int, vec string, rank int"
@@ -140,3 +140,16 @@ def test_targets_are_resolved(spark, target, wanted):
     F = impact_search.F
     row = spark.range(1).select(node_of(absolute(F.lit(target), F.lit("https://A.org/x/y?z#f"))).alias("n"))
     assert row.first().n == wanted
+
+
+def test_url_filter_equals_its_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    schema = "page_id bigint, url string, html string"
+    got = filter_urls(spark.createDataFrame(PAGES, schema)).collect()
+    db = duckdb.connect()
+    pages = pd.DataFrame(PAGES, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"})
+    db.register("pages", pages)
+    there = db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({OP7_SQL})").fetchall()
+    assert sorted(map(repr, there)) == sorted(repr(tuple(r)) for r in got)
