@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def strip_space(text: Column | str) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without blanks at both ends, no-break and other Unicode ones included."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def numbered_head(line: Column | str) -> Column:

@@ -11,9 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP_WORDS = (
-    "the of and to a in is that it for was on with be by this as are at from"
-).split()
+# A published English stop list, without contractions.
+STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself
+she her hers herself it its itself they them their theirs themselves what which who whom this
+that these those am is are was were be been being have has had having do does did doing would
+should could ought a an the and but if or because as until while of at by for with about against
+between into through during before after above below to from up down in out on off over under
+again further then once here there when where why how all any both each few more most other some
+such no nor not only own same so than too very
+""".split()
 
 SENTENCE = r"[^.!?\n]+[.!?]*"
 WORD = r"[\p{L}\p{M}\p{N}]+"

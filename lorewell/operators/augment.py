@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.functions import knowledge_text as K
 from lorewell.functions import lines as L
+from lorewell.functions.text import STOP_WORDS
 from lorewell.operators.knowledge import EdgeIndex, extract_knowledge, knowledge_arrays
 from lorewell.operators.knowledge import message_knowledge
 from lorewell.operators.terms import Lemma
@@ -17,11 +18,11 @@ LINE_KEYS = ("file", "line_no")
 
 
 def _lines_with_knowledge(
-    queries: DataFrame, index: EdgeIndex, lemma: Lemma | None
+    queries: DataFrame, index: EdgeIndex, lemma: Lemma | None, stop_words: Sequence[str]
 ) -> DataFrame:
     """`query` null means: not a message. Adds the rendered `knowledge`."""
     ranked = message_knowledge(
-        queries.filter(F.col("query").isNotNull()), index, LINE_KEYS, "query", lemma=lemma
+        queries.filter(F.col("query").isNotNull()), index, LINE_KEYS, "query", stop_words, lemma
     )
     cells = knowledge_arrays(ranked, LINE_KEYS).select(
         *LINE_KEYS, K.render_enveloped("triples").alias("knowledge")
@@ -35,12 +36,13 @@ def augment_convai(
     index: EdgeIndex,
     lemma: Lemma | None = None,
     keep_leading_digits: bool = False,
+    stop_words: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
     """Numbered lines: knowledge goes before the first tab; persona lines stay as they are."""
     persona = F.contains("line", F.lit("persona:"))
     query = L.numbered_query("line", keep_leading_digits)
     found = _lines_with_knowledge(
-        lines.withColumn("query", F.when(~persona, query)), index, lemma
+        lines.withColumn("query", F.when(~persona, query)), index, lemma, stop_words
     )
     full = F.concat(L.numbered_head("line"), "knowledge", L.numbered_tail("line"))
     no_tab = ~persona & ~F.contains("line", F.lit("\t"))
@@ -51,12 +53,17 @@ def augment_convai(
     )
 
 
-def augment_bst(lines: DataFrame, index: EdgeIndex, lemma: Lemma | None = None) -> DataFrame:
+def augment_bst(
+    lines: DataFrame,
+    index: EdgeIndex,
+    lemma: Lemma | None = None,
+    stop_words: Sequence[str] = STOP_WORDS,
+) -> DataFrame:
     """`key:value` lines: a `concepts` field is added, found with the first `free_message`."""
     mark = "free_message:"
     fields = F.filter(F.split("line", "\t", -1), lambda f: f.startswith(mark))
     query = F.replace(F.get(fields, F.lit(0)), F.lit(mark), F.lit(""))
-    found = _lines_with_knowledge(lines.withColumn("query", query), index, lemma)
+    found = _lines_with_knowledge(lines.withColumn("query", query), index, lemma, stop_words)
     return found.select(
         *LINE_KEYS,
         F.concat(L.strip_space("line"), F.lit("\tconcepts:"), "knowledge").alias("line"),
@@ -64,14 +71,19 @@ def augment_bst(lines: DataFrame, index: EdgeIndex, lemma: Lemma | None = None)
     )
 
 
-def augment_ed(lines: DataFrame, index: EdgeIndex, lemma: Lemma | None = None) -> DataFrame:
+def augment_ed(
+    lines: DataFrame,
+    index: EdgeIndex,
+    lemma: Lemma | None = None,
+    stop_words: Sequence[str] = STOP_WORDS,
+) -> DataFrame:
     """Comma-split lines: knowledge becomes the last field, the header gets its name."""
     stripped = L.strip_space("line")
     parts = F.split(stripped, ",", -1)
     header = F.get(parts, F.lit(0)) == "conv_id"
     text = K.unescape_commas(F.get(parts, F.lit(5)))
     found = _lines_with_knowledge(
-        lines.withColumn("query", F.when(~header, text)), index, lemma
+        lines.withColumn("query", F.when(~header, text)), index, lemma, stop_words
     )
     cell = F.when(header, F.lit("concepts")).otherwise(F.col("knowledge"))
     short = ~header & F.get(parts, F.lit(5)).isNull()
@@ -87,6 +99,7 @@ def augment_wow(
     index: EdgeIndex,
     lemma: Lemma | None = None,
     keys: tuple[str, ...] = ("file", "episode_id"),
+    stop_words: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
     """Nested episodes: every entry of `dialog` gets its `concepts`.
 
@@ -94,7 +107,7 @@ def augment_wow(
     """
     entries = episodes.select(*keys, F.posexplode("dialog").alias("pos", "entry"))
     turns = entries.select(*keys, "pos", F.col("entry.text").alias("text"))
-    ranked = message_knowledge(turns, index, [*keys, "pos"], lemma=lemma)
+    ranked = message_knowledge(turns, index, [*keys, "pos"], "text", stop_words, lemma)
     cells = (
         knowledge_arrays(ranked, [*keys, "pos"])
         .withColumn("cell", K.render_enveloped("triples", escape=False))
@@ -124,10 +137,14 @@ AUGMENTERS: dict[str, Callable[..., DataFrame]] = {
 
 
 def augment(
-    dataset: str, data: DataFrame, index: EdgeIndex, lemma: Lemma | None = None
+    dataset: str,
+    data: DataFrame,
+    index: EdgeIndex,
+    lemma: Lemma | None = None,
+    stop_words: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
-    """The augmenter of a dataset by name."""
-    return AUGMENTERS[dataset](data, index, lemma=lemma)
+    """The augmenter of a dataset by name; the index should have the same stop words."""
+    return AUGMENTERS[dataset](data, index, lemma=lemma, stop_words=stop_words)
 
 
 def augment_turns(
@@ -137,11 +154,12 @@ def augment_turns(
     text: str = "text",
     lemma: Lemma | None = None,
     include_concepts: bool = True,
+    stop_words: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
     """Live form: the sentences of all triples in one envelope behind the utterance."""
     if not include_concepts:
         return turns
-    found = extract_knowledge(turns, index, keys, text, lemma=lemma)
+    found = extract_knowledge(turns, index, keys, text, stop_words, lemma)
     body = K.render_list("triples", ". ")
     full = F.concat(text, F.lit("\n"), K.envelope(body))
     return found.withColumn(text, full).drop("triples")

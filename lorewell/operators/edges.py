@@ -145,23 +145,3 @@ def drop_inverse_pairs(triples: DataFrame, scope: Sequence[str] = ()) -> DataFra
         .agg(pick)
         .select(*scope, "kept.start", "relation", "kept.end", *[f"kept.{c}" for c in others])
     )
-
-
-def knowledge_base(
-    assertions: DataFrame,
-    lang: str = "en",
-    at_least: float = 1.0,
-    n_relations: int | None = 16,
-    same_stem: bool = False,
-    order_col: str | Column = "uri",
-) -> DataFrame:
-    """Assertions -> collapsed edges, restricted to the top relations if wanted.
-
-    Cheap filters run first so that the stem test sees the fewest rows.
-    """
-    edges = with_labels(min_weight(with_weight(english_edges(assertions, lang)), at_least), lang)
-    if not same_stem:
-        edges = drop_same_stem(edges)
-    if n_relations is not None:
-        edges = restrict_relations(edges, top_relations(edges, n_relations))
-    return collapse_edges(edges, order_col)

@@ -273,6 +273,8 @@ def message_knowledge(
     are already together. Sentences with more than `long_words` words take a way
     of their own, so that no row grows with the square of a sentence.
     """
+    # The slim rows are read by both ways, the source they come from once.
+    messages = written(messages.select(*keys, text), "messages")
     short, long = _split_sentences(messages, keys, text, stop_words, long_words)
     group = [*keys, "sent_no", "group_no"]
 

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewell.functions.text import STOP_WORDS
 from lorewell.operators import edges as E
 from lorewell.operators import examples as X
 from lorewell.operators.augment import augment
 from lorewell.operators.knowledge import EdgeIndex, build_index
+from lorewell.operators.scratch import shuffle_partitions, written
 from lorewell.operators.terms import Lemma
 from lorewell.sources import assertions as SA
 from lorewell.sources import dialogs as SD
@@ -28,11 +30,12 @@ def build_knowledge_base(
     """Edge dump -> `filtered` (all relations), `restricted` (top ones) and `graph` below `out`.
 
     Also `relations`, the kept ones with their special tokens, and `no_weight`,
-    rows of the language without a usable weight. The dump is scanned twice, for
-    the good rows and for the others.
+    rows of the language without a usable weight. The dump is scanned once to count lines
+    and once for the numbered rows of the language, which are spread and written.
     """
     raw = SA.read_assertions(spark, dump, numbered=True)
-    weighted = E.with_weight(E.english_edges(raw, lang))
+    rows = E.with_weight(E.english_edges(raw, lang))
+    weighted = written(rows.repartition(shuffle_partitions(rows)), "weighted")
     E.without_weight(weighted).write.parquet(f"{out}/no_weight")
     labelled = E.with_labels(E.min_weight(weighted, at_least), lang)
     SA.write_edges(E.drop_same_stem(labelled), f"{out}/filtered")
@@ -47,13 +50,18 @@ def build_knowledge_base(
 
 
 def load_index(
-    spark: SparkSession, out: str, k: int = 3, all_relations: bool = False
+    spark: SparkSession,
+    out: str,
+    k: int = 3,
+    all_relations: bool = False,
+    stop_words: Sequence[str] = STOP_WORDS,
 ) -> EdgeIndex:
     """Index over the restricted graph, or over all filtered relations."""
     if all_relations:
         edges = spark.read.parquet(f"{out}/filtered")
-        return build_index(E.collapse_edges(edges, F.struct("file", "line_no")), k)
-    return build_index(SA.read_edges(spark, f"{out}/graph", schema=SA.COLLAPSED_SCHEMA), k)
+        return build_index(E.collapse_edges(edges, F.struct("file", "line_no")), k, stop_words=stop_words)
+    edges = SA.read_edges(spark, f"{out}/graph", schema=SA.COLLAPSED_SCHEMA)
+    return build_index(edges, k, stop_words=stop_words)
 
 
 def augment_dataset(
@@ -65,6 +73,7 @@ def augment_dataset(
     split: str = "train",
     variant: str = "concepts",
     lemma: Lemma | None = None,
+    stop_words: Sequence[str] = STOP_WORDS,
 ) -> None:
     """Dialogue files of one dataset and split -> the same with knowledge.
 
@@ -75,10 +84,10 @@ def augment_dataset(
     folder = f"dataset={dataset}/split={split}/variant={variant}"
     if dataset == "wow":
         episodes = SD.read_dialog_json(spark, paths)
-        found = augment("wow", episodes, index, lemma)
+        found = augment("wow", episodes, index, lemma, stop_words)
         SD.write_dialog_json(found.drop("file"), f"{out}/episodes/{folder}")
         return
-    found = augment(dataset, SD.read_dialog_lines(spark, paths), index, lemma)
+    found = augment(dataset, SD.read_dialog_lines(spark, paths), index, lemma, stop_words)
     found.write.parquet(f"{out}/checked/{folder}")
     checked = spark.read.schema(found.schema).parquet(f"{out}/checked/{folder}")
     SD.write_dialog_lines(checked, f"{out}/lines/{folder}")

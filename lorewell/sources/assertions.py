@@ -45,8 +45,3 @@ def write_edges(edges: DataFrame, path: str, fmt: str = "parquet") -> None:
         writer.option("header", True).option("escape", '"').csv(path)
     else:
         writer.format(fmt).save(path)
-
-
-def write_edge_table(edges: DataFrame, name: str, buckets: int) -> None:
-    """Edge table bucketed by start, so that later lookups need not shuffle it."""
-    edges.write.bucketBy(buckets, "start").sortBy("start").saveAsTable(name)

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorewell.operators.scratch import written
+from lorewell.operators.sizes import broadcast_if_small
+
 WOW_SCHEMA = (
     "chosen_topic string, label_candidates array<string>, "
     "dialog array<struct<speaker: string, text: string, concepts: array<string>>>"
@@ -39,7 +42,10 @@ def with_line_numbers(rows: DataFrame, folder_is_file: bool = False) -> DataFram
         "_split",
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
-    numbered = placed.join(starts, ["file", "_split"])
+    # One row per split, counted once: the lines themselves are not shuffled while the
+    # counts can be broadcast.
+    counted = broadcast_if_small(written(starts, "splits"))
+    numbered = placed.join(counted, ["file", "_split"])
     line_no = (F.col("_id") + F.col("_shift")).alias("line_no")
     return numbered.select("file", line_no, *columns)
 
@@ -50,14 +56,21 @@ def read_dialog_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_dialog_json(
-    spark: SparkSession, paths: str | list[str], schema: str = WOW_SCHEMA, array_file: bool = True
+    spark: SparkSession,
+    paths: str | list[str],
+    schema: str | None = None,
+    array_file: bool = True,
 ) -> DataFrame:
     """One row per episode with `file` and `episode_id`.
 
+    Without `schema` Spark finds all fields in one more scan, so that whole episodes can be
+    written back; a schema (WOW_SCHEMA for instance) reads its fields only.
+
     A file holding one JSON array cannot be split: write it out once with
     `write_dialog_json` and read it with `array_file=False` from then on.
     """
-    rows = spark.read.schema(schema).option("multiLine", array_file).json(paths)
+    reader = spark.read.schema(schema) if schema else spark.read
+    rows = reader.option("multiLine", array_file).json(paths)
     return with_line_numbers(rows).withColumnRenamed("line_no", "episode_id")
 
 

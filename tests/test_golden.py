@@ -262,8 +262,8 @@ def test_wow_episodes(spark):
 def test_live_turns(spark):
     index = edge_index(spark, ("dog", "IsA", "animal"), ("dog", "HasA", "tail"))
     out = A.augment_turns(messages(spark, "dog", "no"), index, keys=("id",)).orderBy("id").collect()
-    # "is" and "a" are stop words, "has" is not: the first triple has the smaller norm
-    assert out[0]["text"] == f"dog\n{K1}dog Is A animal. dog Has A tail{K2}"
+    # "is", "a" and "has" are stop words: the norms are equal and the relation decides
+    assert out[0]["text"] == f"dog\n{K1}dog Has A tail. dog Is A animal{K2}"
     assert out[1]["text"] == f"no\n{K1}{K2}"
     same = A.augment_turns(messages(spark, "dog"), index, keys=("id",), include_concepts=False)
     assert same.first()["text"] == "dog"
@@ -326,6 +326,19 @@ def test_episodes_and_stats(spark):
     assert empty["text"] == f"hi\n{K1}{K2}"
 
 
+def test_an_invalid_line_still_ends_its_episode(spark):
+    good, done = "text:hi\tlabels:b\tconcepts:", "\tepisode_done:True"
+    rows = X.bst_examples(line_table(spark, good, "text:hi\tconcepts:" + done, good, good + done))
+    got = [(r["line_no"], r["episode_id"], r["episode_done"]) for r in rows.orderBy("line_no").collect()]
+    assert got == [(1, 0, True), (3, 1, False), (4, 1, True)]
+    last = X.bst_examples(line_table(spark, good, "text:hi\tconcepts:"))
+    assert [(r["episode_done"], r["n_lines"]) for r in last.collect()] == [(True, 2)]
+
+
+def test_blanks_at_the_ends(spark):
+    assert one(spark, lines.strip_space("t"), t="\u00a0 a\u00a0b \u2003\n") == "a\u00a0b"
+
+
 def ed(spark, *turns):
     rows = ["conv_id,h"] + [f"{c},{t},p,s,0,{c}{t},x,,a|b" for c, t in turns]
     return line_table(spark, *rows)

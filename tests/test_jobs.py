@@ -40,7 +40,9 @@ def test_files_to_examples(spark, tmp_path):
     bst = "text:x\tfree_message:my dog\tlabels:y\ntext:z\tlabels:y\tepisode_done:True\n"
     convai = "1 your persona: i like dogs.\n2 my dog\tyo\t\ta|b\n"
     ed = "conv_id,h\nhit:1,1,p,s,0,my dog,x,\nhit:1,2,p,s,0,a hot dog_comma_ yes,x,\n"
-    wow = [{"chosen_topic": "T", "dialog": [{"speaker": s, "text": t} for s, t in [("0_A", "dog"), ("1_Wizard", "ok")]]}]
+    said = [("0_A", "dog"), ("1_Wizard", "ok")]
+    entries = [{"speaker": s, "text": t, "checked_sentence": {"k": t}, "candidates": [t]} for s, t in said]
+    wow = [{"chosen_topic": "T", "persona": "p", "wizard_eval": 5, "dialog": entries}]
     for name, text in (("bst", bst), ("convai", convai), ("empathy", ed), ("wow", json.dumps(wow))):
         path = tmp_path / (f"{name}.json" if name == "wow" else f"{name}.txt")
         path.write_text(text)
@@ -54,6 +56,12 @@ def test_files_to_examples(spark, tmp_path):
     errors = checked.filter("error is not null").collect()
     assert [r["error"] for r in errors] == ["no free_message"]
 
+    (part,) = glob.glob(f"{out}/episodes/dataset=wow/split=train/variant=concepts/part-*")
+    (episode,) = [json.loads(x) for x in open(part)]
+    episode.pop("episode_id")
+    assert [e.pop("concepts") for e in episode["dialog"]] == [knowledge, ""]
+    assert episode == wow[0]  # no field is lost
+
     body = "\n__knowledge__dog__IsA__animal. dog__IsA__tail__endknowledge__"
     names = ("bst", "convai", "empathy")
     got = {n: jobs.read_examples(spark, n, out).orderBy("line_no").collect() for n in names}
