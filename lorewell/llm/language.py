@@ -24,12 +24,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm.pretokens import chunks
+from lorewell.llm.pretokens import chunks, encoder
 from lorewell.llm.shared import map_batches, slices, table
 
 UNKNOWN = "und"
@@ -141,7 +141,7 @@ class CrossParser:
         yield from zip([self.names[i] for i in best], score.tolist())
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def parser(references: tuple[tuple[str, bytes], ...]) -> CrossParser:
     """Built once per worker process from the few kilobytes of text that a task carries."""
     return CrossParser(references)
@@ -194,24 +194,33 @@ def _guesses(texts: list[str | None], references: tuple[tuple[str, bytes], ...])
     return out
 
 
-def guessed(text: Column, references: tuple[tuple[str, bytes], ...]) -> Column:
-    """The language of each text, as a column."""
+def keep_known(docs: DataFrame, references: tuple[tuple[str, bytes], ...]) -> DataFrame:
+    """The rows whose language can be told, `lang` filled in where it is null.
 
-    @F.pandas_udf("string")
-    def guess(texts: pd.Series) -> pd.Series:
-        values = texts.astype(object).where(texts.notna(), None).tolist()
-        return pd.Series(
-            [name for i in range(0, len(values), 500) for name, _ in _guesses(values[i : i + 500], references)],
-            dtype=object,
-        )
+    Columns are passed on as they are; `docs` has text and lang as strings.
+    """
+    schema = docs.schema
+    at = schema.fieldNames().index("lang")
 
-    return guess(text.cast("string"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # a worker keeps one model at a time
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                names = [name for name, _ in _guesses(part.column("text").to_pylist(), references)]
+                kind = part.column(at).type
+                lang = pc.coalesce(part.column(at), pa.array(names, kind))
+                known = pa.array([name != UNKNOWN for name in names])
+                yield part.set_column(at, part.schema.field(at), lang).filter(known)
+
+    return docs.mapInArrow(run, schema)
 
 
 def predict_languages(docs: DataFrame, references: tuple[tuple[str, bytes], ...]) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        encoder.cache_clear()  # a worker keeps one model at a time
         for names, flags, texts in slices(batches):
             for name, held, guess in zip(names, flags, _guesses(texts, references)):
                 yield name, held, *guess

@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm.pretokens import chunks, encoder
-from lorewell.llm.shared import map_batches, parts_for, table, text_of, tokenizer_path, written
+from lorewell.llm.shared import (
+    map_batches, parts_for, slices, table, text_of, tokenizer_path, written,
+)
 
 CAPACITY = 2048
 END = 0
 ROWS_PER_PART = 50_000
 # Below this share of documents placed in a round, new sequences are opened.
-FEW = 0.05
+FEW = 0.25
 
 
 def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -42,8 +44,7 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         coder = encoder(path)
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for names, texts in slices(batches):
             done = 0
             for group in chunks(texts):
                 for name, ids in zip(names[done : done + len(group)], coder.encode(group)):
@@ -159,9 +160,17 @@ def _round(documents: DataFrame, gaps: DataFrame, rows: int) -> DataFrame:
         )
         for side in ("document", "gap")
     }
-    d, g = (sides[x].select(*[F.col(c).alias(f"{x[0]}_{c}") for c in ("number", "size", "match")])
-            for x in ("document", "gap"))
-    met = d.join(g, d.d_match == g.g_match, "full_outer")
+    # Rows without a match keep to themselves by their own number, so no key is hot.
+    alone = {"document": 1, "gap": 2}
+    d, g = (
+        sides[x].select(
+            F.col("number").alias(f"{x[0]}_number"), F.col("size").alias(f"{x[0]}_size"),
+            F.when(F.col("match").isNull(), alone[x]).otherwise(0).alias("kind"),
+            F.coalesce("match", "number").alias("match"),
+        )
+        for x in ("document", "gap")
+    )
+    met = d.join(g, ["kind", "match"], "full_outer")
     none = F.lit(None).cast("bigint")
     rest = met.select(
         F.when(F.col("d_number").isNull(), F.array(F.struct(
@@ -182,7 +191,8 @@ def _round(documents: DataFrame, gaps: DataFrame, rows: int) -> DataFrame:
         F.when(F.col("what") == "later", "gap").otherwise(F.col("what")).alias("what"),
         "item", "sequence", "size",
     )
-    return written(local.unionByName(rest).filter("size > 0"), "round")
+    # The rows are slim and few: no more files than the sweep is worth.
+    return written(local.unionByName(rest.coalesce(parts)).filter("size > 0"), "round")
 
 
 def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -197,25 +207,23 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     gaps = spark.createDataFrame([], "sequence bigint, size bigint")
     placed = [full.select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
     # Sequences of full items have their numbers; the others are negative.
-    opened, at_hand, matched = 0, 0, 0
+    opened, at_hand, before = 0, 0, 0
     while True:
         n, total, least = documents.agg(F.count("*"), F.sum("size"), F.min("size")).first()
         if not n:
             break
         gaps = gaps.filter(F.col("size") >= least)
-        if matched <= FEW * n:
+        if before - n <= FEW * n:
             more = math.ceil(total / capacity)
             new = spark.range(opened + 1, opened + more + 1).select(
                 (-F.col("id")).alias("sequence"), F.lit(capacity).cast("bigint").alias("size")
             )
             gaps, opened, at_hand = gaps.unionByName(new), opened + more, at_hand + more
-        done = _round(documents, gaps, n + at_hand)
+        done, before = _round(documents, gaps, n + at_hand), n
         placed.append(done.filter("what = 'placed'").select(
             "item", F.col("sequence").alias("sequence_id"), (capacity - F.col("size")).alias("offset")))
         documents = done.filter("what = 'document'").select("item", "size")
         gaps = done.filter("what = 'gap'").select("sequence", "size")
-        left = documents.count()
-        matched = n - left
     out = placed[0]
     for more in placed[1:]:
         out = out.unionByName(more)

@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 # Beyond these blocks classes change between versions of Unicode.
 RARE = re.compile("[\u0370-\U0010ffff]")
 CHUNK_CHARS = 1_000_000
-CACHED = 1_000_000
+CACHED = 500_000
 
 
 @lru_cache(maxsize=1)
@@ -100,7 +101,7 @@ def _digests(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
     np.cumsum((codes + np.uint64(1)) * _powers(base, room)[: len(codes)], out=sums[1:])
     digest = (sums[end] - sums[begin]) * _powers(pow(base, -1, 1 << 64), room)[begin]
     long = np.flatnonzero(end - begin > 64)
-    digest[long] = long.astype(np.uint64)
+    digest[long] = ~long.astype(np.uint64)  # one character has a small one
     return digest
 
 
@@ -154,15 +155,30 @@ class PretokenIds:
         self.flat = np.empty(0, np.uint32)
         self.begin = np.zeros(1, np.int64)
 
-    def _learn(self, new: list[str]) -> None:
-        coded = [x.ids for x in self.library.encode_batch_fast(new, add_special_tokens=False)]
+    def _learn(self, new: list[str], known: int) -> None:
+        coded: list[list[int]] = []
+        for i in range(0, len(new), 4_000):  # encodings are large objects
+            part = self.library.encode_batch_fast(new[i : i + 4_000], add_special_tokens=False)
+            coded += [x.ids for x in part]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         ids = np.fromiter((i for x in coded for i in x), np.uint32, int(sizes.sum()))
-        known = len(self.numbers)
         self.numbers.update((x, known + i) for i, x in enumerate(new))
         self.flat = np.concatenate([self.flat, ids])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
 
+    def _places(self, tokens: list[str]) -> np.ndarray:
+        """Where the ids of each pre-token are; those not met before are learned."""
+        if len(self.numbers) + len(tokens) > self.cached:
+            self._clear()
+        known = len(self.numbers)
+        place = np.array([*map(self.numbers.setdefault, tokens, repeat(-1))], np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            distinct = list(dict.fromkeys([tokens[i] for i in new]))
+            self._learn(distinct, known)
+            place[new] = np.fromiter(map(self.numbers.__getitem__, (tokens[i] for i in new)), np.int64, len(new))
+        return place
+
     def _trusted(self, char: str) -> bool:
         """Does the library class this character as we do? Newer letters may differ."""
         if char not in self.trust:
@@ -189,13 +205,8 @@ class PretokenIds:
         normal = [self.normal(x) for x in texts]
         whole = [i for i, x in enumerate(normal) if x is None]
         tokens, number, owner = split_pretokens(["" if x is None else x for x in normal], self.spaced)
-        new = list(dict.fromkeys(x for x in tokens if x not in self.numbers))
-        if len(self.numbers) + len(new) > self.cached:
-            self._clear()
-            new = list(dict.fromkeys(tokens))
-        if new:
-            self._learn(new)
-        found = np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))[number]
+        place = self._places(tokens)
+        found = place[number]
         first, sizes = self.begin[found], self.begin[found + 1] - self.begin[found]
         after = np.cumsum(sizes)
         total = int(after[-1]) if len(after) else 0

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewell.llm.pretokens import encoder
 from lorewell.llm.shared import map_batches, slices, table, text_of
 
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -141,11 +142,19 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The same rows and columns with secrets masked in `text`; null text stays null."""
 
-    @F.pandas_udf("string")
-    def masked(texts):
-        return texts.map(redact, na_action="ignore")
+    schema = docs.schema
+    at = schema.fieldNames().index("text")
 
-    return docs.withColumn("text", masked(F.col("text").cast("string")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # a worker keeps one model at a time
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                masked = [x if x is None else redact(x) for x in part.column(at).to_pylist()]
+                field = part.schema.field(at)
+                yield part.set_column(at, field, pa.array(masked, field.type))
+
+    return docs.mapInArrow(run, schema)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

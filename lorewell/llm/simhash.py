@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm.components import components
+from lorewell.llm.pretokens import encoder
 from lorewell.llm.shared import map_batches, shuffle_partitions, slices, table, text_of, written
 
 SHINGLE = 4
@@ -62,6 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...]
     """doc_id, fp (64 bits in a bigint) and the columns `also` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        encoder.cache_clear()  # a worker keeps one model at a time
         for *names, texts in slices(batches):
             for *row, text in zip(*names, texts):
                 value = fingerprint(text, shingle)

@@ -20,11 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be told; a missing label is filled in."""
     references = language.learn_references(docs)
     rows = docs.select(*DOCUMENT)
-    guess = language.guessed(F.col("text"), references)
-    return (
-        rows.withColumn("guess", guess).filter(F.col("guess") != language.UNKNOWN)
-        .withColumn("lang", F.coalesce("lang", "guess")).select(*DOCUMENT)
-    )
+    return language.keep_known(rows, references)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
