@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorewell.llm.impact_search import OP6_SQL, op6_exact_top_k
+from lorewell.llm.infilling import OP11_SQL, op11_fill_in_middle
 from lorewell.llm.language import op5_language_id
 from lorewell.llm.learned_partitions import op10_nearest_neighbours
 from lorewell.llm.mixing import op9_mix_sources
@@ -31,6 +32,11 @@ QUERIES: dict[str, Query] = {
         op8_token_counts,
         op9_mix_sources,
         op10_nearest_neighbours,
+        op11_fill_in_middle,
     )
 }
-ORACLES: dict[str, str] = {"op6_exact_top_k": OP6_SQL, "op7_url_filter": OP7_SQL}
+ORACLES: dict[str, str] = {
+    "op6_exact_top_k": OP6_SQL,
+    "op7_url_filter": OP7_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+}
