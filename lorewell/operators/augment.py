@@ -10,19 +10,32 @@ from pyspark.sql import functions as F
 from lorewell.functions import knowledge_text as K
 from lorewell.functions import lines as L
 from lorewell.functions.text import STOP_WORDS
+from lorewell.operators.annotated import Annotator
+from lorewell.operators.dense import DenseIndex
 from lorewell.operators.knowledge import EdgeIndex, extract_knowledge, knowledge_arrays
 from lorewell.operators.knowledge import message_knowledge
 from lorewell.operators.terms import Lemma
 
 LINE_KEYS = ("file", "line_no")
+Index = EdgeIndex | DenseIndex
 
 
 def _lines_with_knowledge(
-    queries: DataFrame, index: EdgeIndex, lemma: Lemma | None, stop_words: Sequence[str]
+    queries: DataFrame,
+    index: Index,
+    lemma: Lemma | None,
+    stop_words: Sequence[str],
+    annotator: Annotator | None,
 ) -> DataFrame:
     """`query` null means: not a message. Adds the rendered `knowledge`."""
     ranked = message_knowledge(
-        queries.filter(F.col("query").isNotNull()), index, LINE_KEYS, "query", stop_words, lemma
+        queries.filter(F.col("query").isNotNull()),
+        index,
+        LINE_KEYS,
+        "query",
+        stop_words,
+        lemma,
+        annotator=annotator,
     )
     cells = knowledge_arrays(ranked, LINE_KEYS).select(
         *LINE_KEYS, K.render_enveloped("triples").alias("knowledge")
@@ -33,16 +46,17 @@ def _lines_with_knowledge(
 
 def augment_convai(
     lines: DataFrame,
-    index: EdgeIndex,
+    index: Index,
     lemma: Lemma | None = None,
     keep_leading_digits: bool = False,
     stop_words: Sequence[str] = STOP_WORDS,
+    annotator: Annotator | None = None,
 ) -> DataFrame:
     """Numbered lines: knowledge goes before the first tab; persona lines stay as they are."""
     persona = F.contains("line", F.lit("persona:"))
     query = L.numbered_query("line", keep_leading_digits)
     found = _lines_with_knowledge(
-        lines.withColumn("query", F.when(~persona, query)), index, lemma, stop_words
+        lines.withColumn("query", F.when(~persona, query)), index, lemma, stop_words, annotator
     )
     full = F.concat(L.numbered_head("line"), "knowledge", L.numbered_tail("line"))
     no_tab = ~persona & ~F.contains("line", F.lit("\t"))
@@ -55,15 +69,18 @@ def augment_convai(
 
 def augment_bst(
     lines: DataFrame,
-    index: EdgeIndex,
+    index: Index,
     lemma: Lemma | None = None,
     stop_words: Sequence[str] = STOP_WORDS,
+    annotator: Annotator | None = None,
 ) -> DataFrame:
     """`key:value` lines: a `concepts` field is added, found with the first `free_message`."""
     mark = "free_message:"
     fields = F.filter(F.split("line", "\t", -1), lambda f: f.startswith(mark))
     query = F.replace(F.get(fields, F.lit(0)), F.lit(mark), F.lit(""))
-    found = _lines_with_knowledge(lines.withColumn("query", query), index, lemma, stop_words)
+    found = _lines_with_knowledge(
+        lines.withColumn("query", query), index, lemma, stop_words, annotator
+    )
     return found.select(
         *LINE_KEYS,
         F.concat(L.strip_space("line"), F.lit("\tconcepts:"), "knowledge").alias("line"),
@@ -73,9 +90,10 @@ def augment_bst(
 
 def augment_ed(
     lines: DataFrame,
-    index: EdgeIndex,
+    index: Index,
     lemma: Lemma | None = None,
     stop_words: Sequence[str] = STOP_WORDS,
+    annotator: Annotator | None = None,
 ) -> DataFrame:
     """Comma-split lines: knowledge becomes the last field, the header gets its name."""
     stripped = L.strip_space("line")
@@ -83,7 +101,7 @@ def augment_ed(
     header = F.get(parts, F.lit(0)) == "conv_id"
     text = K.unescape_commas(F.get(parts, F.lit(5)))
     found = _lines_with_knowledge(
-        lines.withColumn("query", F.when(~header, text)), index, lemma, stop_words
+        lines.withColumn("query", F.when(~header, text)), index, lemma, stop_words, annotator
     )
     cell = F.when(header, F.lit("concepts")).otherwise(F.col("knowledge"))
     short = ~header & F.get(parts, F.lit(5)).isNull()
@@ -96,10 +114,11 @@ def augment_ed(
 
 def augment_wow(
     episodes: DataFrame,
-    index: EdgeIndex,
+    index: Index,
     lemma: Lemma | None = None,
     keys: tuple[str, ...] = ("file", "episode_id"),
     stop_words: Sequence[str] = STOP_WORDS,
+    annotator: Annotator | None = None,
 ) -> DataFrame:
     """Nested episodes: every entry of `dialog` gets its `concepts`.
 
@@ -107,7 +126,9 @@ def augment_wow(
     """
     entries = episodes.select(*keys, F.posexplode("dialog").alias("pos", "entry"))
     turns = entries.select(*keys, "pos", F.col("entry.text").alias("text"))
-    ranked = message_knowledge(turns, index, [*keys, "pos"], "text", stop_words, lemma)
+    ranked = message_knowledge(
+        turns, index, [*keys, "pos"], "text", stop_words, lemma, annotator=annotator
+    )
     cells = (
         knowledge_arrays(ranked, [*keys, "pos"])
         .withColumn("cell", K.render_enveloped("triples", escape=False))
@@ -139,27 +160,29 @@ AUGMENTERS: dict[str, Callable[..., DataFrame]] = {
 def augment(
     dataset: str,
     data: DataFrame,
-    index: EdgeIndex,
+    index: Index,
     lemma: Lemma | None = None,
     stop_words: Sequence[str] = STOP_WORDS,
+    annotator: Annotator | None = None,
 ) -> DataFrame:
     """The augmenter of a dataset by name; the index should have the same stop words."""
-    return AUGMENTERS[dataset](data, index, lemma=lemma, stop_words=stop_words)
+    return AUGMENTERS[dataset](data, index, lemma=lemma, stop_words=stop_words, annotator=annotator)
 
 
 def augment_turns(
     turns: DataFrame,
-    index: EdgeIndex,
+    index: Index,
     keys: tuple[str, ...] = ("conv_id", "turn"),
     text: str = "text",
     lemma: Lemma | None = None,
     include_concepts: bool = True,
     stop_words: Sequence[str] = STOP_WORDS,
+    annotator: Annotator | None = None,
 ) -> DataFrame:
     """Live form: the sentences of all triples in one envelope behind the utterance."""
     if not include_concepts:
         return turns
-    found = extract_knowledge(turns, index, keys, text, stop_words, lemma)
+    found = extract_knowledge(turns, index, keys, text, stop_words, lemma, annotator=annotator)
     body = K.render_list("triples", ". ")
     full = F.concat(text, F.lit("\n"), K.envelope(body))
     return found.withColumn(text, full).drop("triples")

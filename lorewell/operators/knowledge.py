@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from lorewell.functions import text as T
 from lorewell.functions import vectors as V
 from lorewell.functions.labels import triple_text
+from lorewell.operators.annotated import (
+    Annotation,
+    Annotator,
+    annotated_counts,
+    annotated_sentences,
+    annotated_terms,
+)
+from lorewell.operators.dense import DenseIndex, dense_candidates
 from lorewell.operators.scratch import shuffle_partitions, written
 from lorewell.operators.sizes import broadcast_if_small
 from lorewell.operators.terms import (
@@ -19,9 +27,9 @@ from lorewell.operators.terms import (
     first_mention,
     group_terms,
     message_sentences,
+    run_tokens,
     sentence_counts,
     sentence_terms,
-    tokens,
 )
 
 TRIPLE = ("start", "relation", "end")
@@ -239,13 +247,12 @@ def _split_sentences(
     text: str,
     stop_words: Sequence[str],
     long_words: int,
-    dedupe: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Counted sentences, spread by key: those of usual length, and the long ones."""
 
     def analysed(part: DataFrame, is_long: bool) -> DataFrame:
         spread = part.select(*keys, text).repartition(shuffle_partitions(part), *keys)
-        sents = message_sentences(spread, keys, text, stop_words, dedupe)
+        sents = message_sentences(spread, keys, text, stop_words)
         # on the plain word list: a filter on the counts would be pushed into their making
         fits = F.size("words") > long_words
         sents = sents.filter((F.size("runs") > 0) & (fits if is_long else ~fits))
@@ -256,15 +263,71 @@ def _split_sentences(
     return analysed(messages, False), analysed(candidates, True)
 
 
+def rank_dense(
+    terms: DataFrame,
+    vectors: DataFrame,
+    index: DenseIndex,
+    keys: Sequence[str],
+    bag: bool = True,
+) -> DataFrame:
+    """Ranked triples of lookup terms (keys, sent_no, group_no, term) by vectors of their sentences."""
+    group = [*keys, "sent_no", "group_no"]
+    if not bag:
+        terms = terms.dropDuplicates([*group, "term"])
+    scored = dense_candidates(terms, vectors, index, [*keys, "sent_no"], group)
+    ranked = top_triples(scored, group, index.k, bag)
+    return ranked.select(*group, "rank", *TRIPLE, "score")
+
+
+def _dense_knowledge(
+    messages: DataFrame,
+    index: DenseIndex,
+    keys: Sequence[str],
+    text: str,
+    stop_words: Sequence[str],
+    lemma: Lemma | None,
+    bag: bool,
+) -> DataFrame:
+    """Sentences are cut once and written; terms and vectors are made from that table."""
+    spread = messages.select(*keys, text).repartition(shuffle_partitions(messages), *keys)
+    sents = message_sentences(spread, keys, text, stop_words).filter(F.size("runs") > 0)
+    return rank_sentences(written(sents, "sentences"), index, keys, lemma, bag)
+
+
+def annotated_knowledge(
+    annotation: Annotation,
+    index: EdgeIndex | DenseIndex,
+    keys: Sequence[str],
+    bag: bool = True,
+    long_words: int = LONG_WORDS,
+) -> DataFrame:
+    """`message_knowledge` for messages that an outside annotator has cut into tokens and chunks."""
+    sentence = [*keys, "sent_no"]
+    terms = annotated_terms(annotation, keys)
+    if isinstance(index, DenseIndex):
+        vectors = index.encode(annotated_sentences(annotation, keys), sentence, "sentence")
+        return rank_dense(terms, written(vectors, "vectors"), index, keys, bag)
+    counts = written(annotated_counts(annotation, keys), "counts")
+    fits = F.size("tf") <= long_words
+    short = short_scores(terms.join(counts.filter(fits), sentence), index)
+    long = counts.filter(~fits)
+    rest = long_scores(terms.join(long.drop("tf"), sentence), long, index, sentence)
+    group = [*sentence, "group_no"]
+    columns = [*group, *TRIPLE, "score"]
+    ranked = top_triples(short.select(*columns).unionByName(rest.select(*columns)), group, index.k, bag)
+    return ranked.select(*group, "rank", *TRIPLE, "score")
+
+
 def message_knowledge(
     messages: DataFrame,
-    index: EdgeIndex,
+    index: EdgeIndex | DenseIndex,
     keys: Sequence[str],
     text: str = "text",
     stop_words: Sequence[str] = T.STOP_WORDS,
     lemma: Lemma | None = None,
     bag: bool = True,
     long_words: int = LONG_WORDS,
+    annotator: Annotator | None = None,
 ) -> DataFrame:
     """Ranked triples of every message: (keys, sent_no, group_no, rank, triple, score).
 
@@ -272,7 +335,16 @@ def message_knowledge(
     enough to be broadcast nothing after that is shuffled: groups and messages
     are already together. Sentences with more than `long_words` words take a way
     of their own, so that no row grows with the square of a sentence.
+
+    With a `DenseIndex` sentences and triples are compared by the vectors of its encoder. An
+    `annotator` takes the place of the library's own words, groups, stop words and lemmas.
     """
+    if annotator:
+        spread = messages.select(*keys, text).repartition(shuffle_partitions(messages), *keys)
+        messages = written(spread, "messages")
+        return annotated_knowledge(annotator(messages, keys, text), index, keys, bag, long_words)
+    if isinstance(index, DenseIndex):
+        return _dense_knowledge(messages, index, keys, text, stop_words, lemma, bag)
     # The slim rows are read by both ways, the source they come from once.
     messages = written(messages.select(*keys, text), "messages")
     short, long = _split_sentences(messages, keys, text, stop_words, long_words)
@@ -294,15 +366,18 @@ def message_knowledge(
 
 def extract_knowledge(
     messages: DataFrame,
-    index: EdgeIndex,
+    index: EdgeIndex | DenseIndex,
     keys: Sequence[str],
     text: str = "text",
     stop_words: Sequence[str] = T.STOP_WORDS,
     lemma: Lemma | None = None,
     bag: bool = True,
+    annotator: Annotator | None = None,
 ) -> DataFrame:
     """Every message with its `triples`, an empty list where nothing was found."""
-    ranked = message_knowledge(messages, index, keys, text, stop_words, lemma, bag)
+    ranked = message_knowledge(
+        messages, index, keys, text, stop_words, lemma, bag, annotator=annotator
+    )
     found = knowledge_arrays(ranked, keys)
     joined = messages.join(found, list(keys), "left")
     nothing = F.array().cast(found.schema["triples"].dataType)
@@ -311,7 +386,7 @@ def extract_knowledge(
 
 def context_knowledge(
     turns: DataFrame,
-    index: EdgeIndex,
+    index: EdgeIndex | DenseIndex,
     conv: str = "conv_id",
     turn: str = "turn",
     text: str = "text",
@@ -328,19 +403,58 @@ def context_knowledge(
     keys = [conv, turn]
     sentence = [*keys, "sent_no"]
     group = [*sentence, "group_no"]
-    table = tokens(turns.select(*keys, text), keys, text, stop_words)
-    fresh = first_mention(table, [conv], [turn, "sent_no", "group_no", "pos"])
+    # turns are parsed once; the words to look up and the counts both come from this table
+    spread = turns.select(*keys, text).repartition(shuffle_partitions(turns), *keys)
+    sents = message_sentences(spread, keys, text, stop_words, dedupe=False)
+    sents = written(sents.filter(F.size("runs") > 0), "sentences")
+    fresh = first_mention(run_tokens(sents, keys), [conv], [turn, "sent_no", "group_no", "pos"])
     named = fresh.withColumn("term", lemma(F.col("surface")) if lemma else F.col("surface"))
     terms = group_terms(named, group)
-    short, long = _split_sentences(turns, keys, text, stop_words, long_words, dedupe=False)
-    short_terms = terms.join(short.select(*sentence, "tf", "norm"), sentence)
-    long_terms = terms.join(long.select(*sentence, "norm"), sentence)
+    if isinstance(index, DenseIndex):
+        vectors = index.encode(sents, sentence, "sentence")
+        return first_known(rank_dense(terms, written(vectors, "vectors"), index, keys), conv, turn)
+    short, long = _counted(sents.drop("runs"), long_words)
+    short_terms = terms.join(short, sentence)
+    long_terms = terms.join(long.drop("tf"), sentence)
     columns = [*group, *TRIPLE, "score"]
     scored = short_scores(short_terms, index).select(*columns)
     rest = long_scores(long_terms, long, index, sentence).select(*columns)
-    ranked = top_triples(scored.unionByName(rest), group, index.k)
+    return first_known(top_triples(scored.unionByName(rest), group, index.k), conv, turn)
+
+
+def first_known(ranked: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """Where in its conversation each triple was found first."""
     place = [turn, "sent_no", "group_no", "rank"]
     first = F.min(F.struct(*place, "score")).alias("p")
     return ranked.groupBy(conv, *TRIPLE).agg(first).select(
         conv, *[f"p.{c}" for c in place], *TRIPLE, "p.score"
     )
+
+
+def _counted(sents: DataFrame, long_words: int) -> tuple[DataFrame, DataFrame]:
+    """Cut sentences with word counts: those of usual length, and the long ones."""
+    fits = F.size("words") <= long_words
+    rows = sents.drop("sentence")
+    return sentence_counts(rows.filter(fits)), sentence_counts(rows.filter(~fits))
+
+
+def rank_sentences(
+    sents: DataFrame,
+    index: EdgeIndex | DenseIndex,
+    keys: Sequence[str],
+    lemma: Lemma | None = None,
+    bag: bool = True,
+    long_words: int = LONG_WORDS,
+) -> DataFrame:
+    """Ranked triples of cut sentences (keys, sent_no, sentence, words, runs), as `message_knowledge`."""
+    group = [*keys, "sent_no", "group_no"]
+    if isinstance(index, DenseIndex):
+        vectors = index.encode(sents, [*keys, "sent_no"], "sentence")
+        return rank_dense(sentence_terms(sents, keys, lemma), written(vectors, "vectors"), index, keys, bag)
+    short, long = _counted(sents, long_words)
+    columns = [*group, *TRIPLE, "score"]
+    scored = short_scores(sentence_terms(short, keys, lemma, carry=("tf", "norm")), index)
+    long_terms = sentence_terms(long, keys, lemma, carry=("norm",))
+    rest = long_scores(long_terms, long, index, [*keys, "sent_no"])
+    ranked = top_triples(scored.select(*columns).unionByName(rest.select(*columns)), group, index.k, bag)
+    return ranked.select(*group, "rank", *TRIPLE, "score")

@@ -128,7 +128,11 @@ def tokens(
 
     Groups are numbered before repeats are dropped; only identity counts.
     """
-    sents = message_sentences(messages, keys, text, stop_words, dedupe=False)
+    return run_tokens(message_sentences(messages, keys, text, stop_words, dedupe=False), keys)
+
+
+def run_tokens(sents: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The token table of cut sentences with their `runs`."""
 
     def words(run: Column, i: Column) -> Column:
         return F.transform(

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewell.functions.knowledge_text import escape_separators
-from lorewell.functions.text import STOP_WORDS, WORD, plural_lemma
+from lorewell.functions.labels import triple_text
+from lorewell.functions.text import STOP_WORDS, WORD, content_words, plural_lemma
+from lorewell.operators.annotated import Annotation
 from lorewell.operators.ordered import with_neighbour
 from lorewell.operators.scratch import shuffle_partitions
 
@@ -104,6 +106,28 @@ def lemma_table(conversations: DataFrame) -> DataFrame:
     return plural.withColumn("lemma", plural_lemma(F.col("surface")))
 
 
+def compounds(annotation: Annotation, keys: tuple[str, ...]) -> Annotation:
+    """The same with every word of a run but the last as a compound."""
+    cut = F.col("is_stop") | F.col("is_punct")
+    after = F.lead(cut).over(W.partitionBy(*keys, "sent_no").orderBy("pos"))
+    dep = F.when(~cut & (after == F.lit(False)), F.lit("compound")).otherwise(F.lit(""))
+    return Annotation(annotation.tokens.withColumn("dep", dep), annotation.chunks)
+
+
+def word_vectors(conversations: DataFrame, edges: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(word, vec) for the content words of turns and triples: whole numbers from a row drawn by hash."""
+    said = conversations.select("text").unionByName(
+        edges.select(triple_text("start", "relation", "end").alias("text"))
+    )
+    words = said.select(F.explode(content_words(F.col("text"), STOP_WORDS)).alias("word")).distinct()
+    draw = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint")
+    rows = embeddings.select(
+        "vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("vec")
+    )
+    drawn = words.withColumn("vec_id", draw % embeddings.count())
+    return drawn.join(rows, "vec_id").select("word", "vec")
+
+
 def placed_turns(conversations: DataFrame, header: int = 0) -> DataFrame:
     """Turns with their file and dense line number, text on one line, and the texts around.
 

@@ -371,9 +371,49 @@ ranked AS (
   FROM scored)
 SELECT vec_id, rank, other_id, round(score, 6) AS score FROM ranked WHERE rank <= 3"""
 ORACLES["extract_knowledge"] = f"WITH {EDGES}, {TERMS}, {SCORES} {_distinct('conv_id, turn')}"
+
+DENSE = f"""
+wv AS (
+  SELECT w, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v
+  FROM (SELECT w, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings) AS vec_id
+        FROM (SELECT w FROM tf UNION SELECT w FROM tw))
+  JOIN embeddings USING (vec_id)),
+sdim AS (
+  SELECT conv_id, turn, sent_no, d, sum(c * v[d]) AS x
+  FROM tf JOIN wv USING (w), generate_series(1, 64) g(d) GROUP BY ALL),
+svec AS (SELECT conv_id, turn, sent_no, list(x ORDER BY d) AS v FROM sdim GROUP BY ALL),
+tdim AS (
+  SELECT start, relation, "end", d, sum(c * v[d]) AS x
+  FROM tt JOIN wv USING (w), generate_series(1, 64) g(d) GROUP BY ALL),
+tvec AS (SELECT start, relation, "end", list(x ORDER BY d) AS v FROM tdim GROUP BY ALL),
+pair AS (
+  SELECT c.*, list_dot_product(s.v, t.v) AS dot,
+    sqrt(list_dot_product(s.v, s.v)) * sqrt(list_dot_product(t.v, t.v)) AS norm
+  FROM cand c LEFT JOIN svec s USING (conv_id, turn, sent_no) LEFT JOIN tvec t USING (start, relation, "end")),
+dense AS (SELECT *, CASE WHEN norm > 0 THEN dot / norm ELSE 0.0::DOUBLE END AS score FROM pair),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn, sent_no, group_no
+    ORDER BY score DESC, start, relation, "end") AS rank FROM dense QUALIFY rank <= 3)"""
+CANDIDATES = SCORES[: SCORES.index("dots AS")].rstrip().rstrip(",")
+ORACLES["extract_dense"] = f"WITH {EDGES}, {TERMS}, {CANDIDATES}, {DENSE} {_distinct('conv_id, turn')}"
+ORACLES["extract_annotated"] = ORACLES["extract_knowledge"]
+COMPOUND = f"""
+near AS (
+  SELECT conv_id, turn, sent_no, i,
+    lead(cut) OVER (PARTITION BY conv_id, turn, sent_no ORDER BY i) AS next_cut FROM flag),
+said AS (SELECT word.*, next_cut FROM word JOIN near USING (conv_id, turn, sent_no, i)),
+fresh AS (
+  SELECT *, {GROUP_NO}, CASE WHEN next_cut = 0 THEN w ELSE {LEMMA} END AS lemma
+  FROM ({FRESH.format("said", "conv_id, turn")}))"""
+ORACLES["annotated_terms"] = f"""WITH {TEXT}, {COMPOUND}
+SELECT conv_id, turn, sent_no, group_no, lemma AS term FROM fresh
+UNION ALL
+SELECT conv_id, turn, sent_no, group_no, string_agg(lemma, ' ' ORDER BY i) FROM fresh
+GROUP BY conv_id, turn, sent_no, group_no HAVING count(*) > 1"""
 ORACLES["extract_context"] = (
     f"WITH {EDGES}, {TEXT}, {_terms('conv_id', False)}, {SCORES} {_distinct('conv_id')}"
 )
+ORACLES["stream_context"] = ORACLES["extract_context"]
 
 # --- augmentation ----------------------------------------------------------
 

@@ -11,7 +11,9 @@ from lorewell.functions import knowledge_text as KT
 from lorewell.functions.labels import relation_phrase, relation_token, triple_key, triple_text
 from lorewell.functions.lines import truncate_words
 from lorewell.functions.text import plural_lemma
+from lorewell.operators import annotated as N
 from lorewell.operators import augment as A
+from lorewell.operators import dense as D
 from lorewell.operators import edges as E
 from lorewell.operators import examples as X
 from lorewell.operators import knowledge as K
@@ -20,6 +22,7 @@ from lorewell.operators import terms as T
 from lorewell.operators.backport import backport_concepts
 from lorewell.operators.scratch import scratch_path, written
 from lorewell.plans import fixtures as fx
+from lorewell.streaming.context import context_stream, read_context
 from lorewell.streaming.turns import augment_turn_stream, read_augmented
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +42,17 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "conversations")
 
 
+def turn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns as a stream, whether their table is one file or a folder of files."""
+    turns = conversations(spark, sf_dir)
+    reader = spark.readStream.schema(turns.schema)
+    if all(f.endswith("/conversations.parquet") for f in turns.inputFiles()):
+        stream = reader.option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    else:
+        stream = reader.parquet(f"{sf_dir}/conversations.parquet")
+    return stream.select(*TURN, "text")
+
+
 def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.assertions(fx.table(spark, sf_dir, "documents"))
 
@@ -59,6 +73,14 @@ def edge_index(spark: SparkSession, sf_dir: str) -> K.EdgeIndex:
     return K.build_index(knowledge_base(spark, sf_dir))
 
 
+def dense_index(spark: SparkSession, sf_dir: str) -> D.DenseIndex:
+    """Sentences and triples as sums of word vectors of 64 components."""
+    edges = written(knowledge_base(spark, sf_dir), "edges")
+    embeddings = fx.table(spark, sf_dir, "embeddings")
+    words = written(fx.word_vectors(conversations(spark, sf_dir), edges, embeddings), "words")
+    return D.index_dense_edges(edges, D.word_sum_encoder(words, 64))
+
+
 # --- knowledge base --------------------------------------------------------
 
 
@@ -200,6 +222,35 @@ def extract_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("score", F.round("score", 6))
 
 
+@query
+def extract_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = dense_index(spark, sf_dir)
+    ranked = K.message_knowledge(conversations(spark, sf_dir), index, TURN, lemma=plural_lemma)
+    rows = K.distinct_triples(ranked, TURN)
+    return rows.withColumn("score", F.round("score", 6))
+
+
+@query
+def extract_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and spans as an annotator would deliver them give what the library's own words give."""
+    ranked = K.message_knowledge(
+        conversations(spark, sf_dir),
+        edge_index(spark, sf_dir),
+        TURN,
+        annotator=N.run_annotator(lemma=plural_lemma),
+    )
+    rows = K.distinct_triples(ranked, TURN)
+    return rows.withColumn("score", F.round("score", 6))
+
+
+@query
+def annotated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of chunks whose words but the last are compounds, and of the gaps between them."""
+    found = fx.compounds(N.run_annotator(lemma=plural_lemma)(conversations(spark, sf_dir), TURN, "text"), TURN)
+    terms = N.annotated_terms(found, TURN)
+    return terms.select(*TURN, "sent_no", "group_no", "term")
+
+
 @query
 def extract_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = edge_index(spark, sf_dir)
@@ -259,12 +310,7 @@ def backport(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversations(spark, sf_dir).select(*TURN, "text")
-    stream = (
-        spark.readStream.schema(conversations(spark, sf_dir).schema)
-        .option("pathGlobFilter", "conversations.parquet")
-        .parquet(sf_dir)
-        .select(*TURN, "text")
-    )
+    stream = turn_stream(spark, sf_dir)
     sink = scratch_path(spark, "augmented")
     run = augment_turn_stream(
         stream,
@@ -277,6 +323,17 @@ def stream_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_augmented(turns, sink).drop("batch_id")
 
 
+@query
+def stream_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = turn_stream(spark, sf_dir)
+    sink = scratch_path(spark, "context")
+    run = context_stream(
+        stream, edge_index(spark, sf_dir), sink, scratch_path(spark, "progress"), lemma=plural_lemma
+    )
+    run.awaitTermination()
+    return read_context(spark, sink).withColumn("score", F.round("score", 6))
+
+
 # --- examples --------------------------------------------------------------
 
 

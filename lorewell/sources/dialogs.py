@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lorewell.operators.scratch import written
 from lorewell.operators.sizes import broadcast_if_small
+from lorewell.sources.json_arrays import read_array_files
 
 WOW_SCHEMA = (
     "chosen_topic string, label_candidates array<string>, "
@@ -19,19 +20,22 @@ BST_SCHEMA = "dialog array<array<string>>, concepts array<array<string>>"
 def with_line_numbers(rows: DataFrame, folder_is_file: bool = False) -> DataFrame:
     """Add `file` and `line_no`, counted from 1 in each file.
 
-    Rows keep their place inside a split; the splits of a file are counted
-    first, and only those counts are summed up, so a huge file stays spread.
-    With `folder_is_file` the part files of a folder count as one file, in the
-    order of their names.
+    The source is scanned once: its rows are staged with the split they are in and their
+    place there. What each split holds is counted from the staged places, and only those counts are
+    summed up, so a huge file stays spread and a packed one is unpacked once. With
+    `folder_is_file` the part files of a folder count as one file, in the order of their names.
     """
     columns = rows.columns
     path = F.col("_metadata.file_path")
     start = F.col("_metadata.file_block_start")
-    placed = rows.select(
-        *columns,
-        (F.regexp_replace(path, "/[^/]*$", "") if folder_is_file else path).alias("file"),
-        F.struct(path.alias("path"), start.alias("start")).alias("_split"),
-        F.monotonically_increasing_id().alias("_id"),
+    placed = written(
+        rows.select(
+            *columns,
+            (F.regexp_replace(path, "/[^/]*$", "") if folder_is_file else path).alias("file"),
+            F.struct(path.alias("path"), start.alias("start")).alias("_split"),
+            F.monotonically_increasing_id().alias("_id"),
+        ),
+        "staged",
     )
     splits = placed.groupBy("file", "_split").agg(
         F.min("_id").alias("_first"), F.count("*").alias("_n")
@@ -66,11 +70,13 @@ def read_dialog_json(
     Without `schema` Spark finds all fields in one more scan, so that whole episodes can be
     written back; a schema (WOW_SCHEMA for instance) reads its fields only.
 
-    A file holding one JSON array cannot be split: write it out once with
-    `write_dialog_json` and read it with `array_file=False` from then on.
+    A file holds one JSON array, which many tasks read side by side, or with `array_file=False`
+    one episode per line.
     """
+    if array_file:
+        return read_array_files(spark, paths, schema)
     reader = spark.read.schema(schema) if schema else spark.read
-    rows = reader.option("multiLine", array_file).json(paths)
+    rows = reader.json(paths)
     return with_line_numbers(rows).withColumnRenamed("line_no", "episode_id")
 
 

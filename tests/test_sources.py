@@ -3,7 +3,9 @@
 import glob
 import gzip
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorewell.sources import assertions as S
@@ -86,6 +88,68 @@ def test_json_episodes(spark, tmp_path):
     assert sorted(len(r["dialog"]) for r in again.collect()) == [0, 1]
 
 
+@pytest.mark.parametrize("split, indent", [(150, None), (700, 2), (1 << 20, None)])
+def test_array_files_are_read_by_many_tasks(spark, tmp_path, split, indent):
+    rng = random.Random(split)
+    texts = ["plain", 'say "hi"', "back\\slash \\\\", "}{][", '\\"}', "é\u2028 日本", "two\nlines", "", "x" * 400, "a,b"]
+    files = []
+    for n in (30, 1, 0):
+        episodes = [
+            {"id": i, "dialog": [{"text": rng.choice(texts), "concepts": rng.choices(texts, k=rng.randrange(3))}
+                                 for _ in range(rng.randrange(4))], "extra": {"deep": [[rng.choice(texts)]]}}
+            for i in range(n)
+        ]
+        files.append(episodes)
+        (tmp_path / f"e{n}.json").write_text(json.dumps(episodes, indent=indent, ensure_ascii=False))
+    schema = (
+        "id long, dialog array<struct<text: string, concepts: array<string>>>, extra struct<deep: array<array<string>>>"
+    )
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        parts = spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions()
+        rows = D.read_dialog_json(spark, str(tmp_path), schema).collect()
+        free = D.read_dialog_json(spark, str(tmp_path)).filter("id = 29").first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert parts > 10 or split > 10_000
+    for episodes in files:
+        got = {r["episode_id"]: r.asDict(True) for r in rows if f"/e{len(episodes)}.json" in r["file"]}
+        assert sorted(got) == list(range(1, len(episodes) + 1))
+        for i, e in enumerate(episodes):
+            assert {c: got[i + 1][c] for c in e} == e
+    assert [e["text"] for e in free["dialog"]] == [e["text"] for e in files[0][29]["dialog"]]
+
+
+def test_arrays_without_broadcast(spark, tmp_path):
+    episodes = [{"id": i, "text": "}{" * (i % 40)} for i in range(40)]
+    (tmp_path / "e.json").write_text(json.dumps(episodes))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        rows = D.read_dialog_json(spark, str(tmp_path / "e.json"), "id long, text string").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["episode_id"], r["id"], r["text"]) for r in rows) == [
+        (i + 1, i, e["text"]) for i, e in enumerate(episodes)
+    ]
+
+
+def test_sources_are_scanned_once(spark, tmp_path):
+    """After the rows have been staged the source may change: nothing reads it again."""
+    lines = "".join(f"line {i}\n" for i in range(400))
+    path = tmp_path / "dump.txt.gz"
+    path.write_bytes(gzip.compress(lines.encode()))
+    df = D.read_dialog_lines(spark, str(path))
+    path.write_bytes(gzip.compress(b"other\n"))
+    rows = df.orderBy("line_no").collect()
+    assert [r["line"] for r in rows] == lines.splitlines()
+    assert [r["line_no"] for r in rows] == list(range(1, 401))
+
+
 def test_variant_names():
     assert D.variant_name("convai", True) == "self_original_concepts"
     assert D.variant_name("convai", True, False) == "self_original_concepts_no_cands"
