@@ -46,7 +46,7 @@ from lorewell.operators.sizes import broadcast_if_small
 START, SYSTEM, USER, ASSISTANT = range(4)
 FAR = 1 << 60
 END = (0, 10, 5, 0)
-LETTERS = np.array(["D", "I", "K", "R"])
+LETTERS = np.frombuffer(b"DIKR", np.uint8)
 KEEP = {"s": (1, -1, -1, -1), "u": (2, 2, -1, 2), "a": (-1, -1, 3, -1)}
 NO_KEEP = (-1, -1, -1, -1)
 REROLE = (2, 2, 3, 2)  # also where an insert leads
@@ -110,18 +110,9 @@ class Piece:
 
 def least_audits(pieces: Sequence[Piece], entries: Sequence[Sequence[int]]) -> list[list[tuple[str, int]]]:
     """For each piece and each state it is entered in: the least cheapest audit, and the state it ends in."""
-    arcs, first, repeats = [], [], []
-    base = 0
-    for piece in pieces:
-        nodes = np.array(costs_to_go(piece.units, piece.end), np.int64)
-        arcs.append(_optimal_arcs(piece, nodes) + base * 4)
-        repeats.append(np.array([1 if u[0] else u[2] for u in piece.units] + [1], np.int64))
-        first.append(base)
-        base += len(nodes)
-    # targets[v, letter]: where an optimal arc leads, below 0 if there is none
-    targets = np.concatenate(arcs)
-    targets[targets < 0] = -1
-    runs = np.concatenate(repeats)
+    first = np.cumsum([0, *(len(p.units) + 1 for p in pieces)])[:-1]
+    targets = _optimal_arcs(pieces)
+    runs = np.array([n for p in pieces for n in (*(1 if u[0] else u[2] for u in p.units), 1)], np.int64)
     nodes = np.arange(len(targets))
     optimal = targets >= 0
     # Audits of one letter; an end sorts before every letter and leads to itself.
@@ -144,45 +135,60 @@ def least_audits(pieces: Sequence[Piece], entries: Sequence[Sequence[int]]) -> l
     doubled = [pointer]
     while (doubled[-1] != (further := doubled[-1][doubled[-1]])).any():
         doubled.append(further)
-    out = []
-    for piece, at, states in zip(pieces, first, entries):
-        found = []
-        for state in states:
-            path = np.array([4 * at + state])
-            for jump in doubled:
-                path = np.concatenate([path, jump[path]])
-                if path[-1] == pointer[path[-1]]:
-                    break
-            steps = path[optimal[path].any(1)]
-            drawn = LETTERS[best[steps]]
-            counts = np.where(drawn == "D", runs[steps >> 2], 1)
-            found.append(("".join(np.repeat(drawn, counts).tolist()), int(path[-1]) & 3))
-        out.append(found)
+    # Pieces of about one length are read off side by side.
+    starts = [(len(p.units), i, 4 * at + s) for i, (p, at, states) in enumerate(zip(pieces, first.tolist(), entries)) for s in states]
+    classes: dict[int, list[tuple[int, int]]] = {}
+    for n, i, start in starts:
+        classes.setdefault(n.bit_length(), []).append((i, start))
+    found: dict[int, tuple[str, int]] = {}
+    for own in classes.values():
+        path = np.array([start for _, start in own])[:, None]
+        for jump in doubled:
+            path = np.concatenate([path, jump[path]], axis=1)
+            if (path[:, -1] == pointer[path[:, -1]]).all():
+                break
+        steps = optimal[path].any(2)
+        counts = np.where(steps, np.where(best[path] == 0, runs[path >> 2], 1), 0)
+        letters = np.repeat(LETTERS[best[path]].ravel(), counts.ravel()).tobytes().decode()
+        ends = np.cumsum(counts.sum(1)).tolist()
+        for (_, start), a, b, last in zip(own, [0, *ends], ends, path[:, -1].tolist()):
+            found[start] = letters[a:b], last & 3
+    out: list[list[tuple[str, int]]] = [[] for _ in pieces]
+    for _, i, start in starts:
+        out[i].append(found[start])
     return out
 
 
-def _optimal_arcs(piece: Piece, go: np.ndarray) -> np.ndarray:
-    """Targets (4 * place + state) of the optimal arcs of every node by letter; far below 0: none."""
-    n = len(piece.units)
-    out = np.full((n + 1, 4, 4), -FAR, np.int64)
-    place = np.arange(n)
-    initial = [u[0] for u in piece.units]
-    forced = np.array([not x for x in initial], bool)
-    kept = np.array([5 if u[1] else 0 for u in piece.units], np.int64)
-    lost = np.array([2 if u[0] else 2 * u[2] for u in piece.units], np.int64)
-    keep = np.array([KEEP.get(x, NO_KEEP) for x in initial], np.int64).reshape(-1, 4)
+def _optimal_arcs(pieces: Sequence[Piece]) -> np.ndarray:
+    """Targets of the optimal arcs of every node by letter, -1 if there is none.
+
+    Nodes are numbered 4 * place + state, the places of all pieces one after the other; a piece
+    has one place more than units.
+    """
+    go = np.array([c for p in pieces for c in costs_to_go(p.units, p.end)], np.int64).reshape(-1, 4)
+    units = [u for p in pieces for u in (*p.units, None)]
+    place = np.arange(len(units))
+    after = np.minimum(place + 1, len(units) - 1)
+    ended = np.array([u is None for u in units], bool)
+    forced = np.array([u is not None and not u[0] for u in units], bool)
+    kept = np.array([5 if u and u[1] else 0 for u in units], np.int64)
+    lost = np.array([2 if u and u[0] else 2 * u[2] if u else 0 for u in units], np.int64)
+    keep = np.array([KEEP.get(u[0], NO_KEEP) if u else NO_KEEP for u in units], np.int64).reshape(-1, 4)
+    # inserts are made before a unit, and after the last unit of a conversation
+    open_ = ~ended
+    open_[np.cumsum([len(p.units) + 1 for p in pieces])[[p.last for p in pieces]] - 1] = True
+    out = np.full((len(units), 4, 4), -1, np.int64)
     for s in range(4):
-        def arc(letter: int, cost: np.ndarray, to: np.ndarray, allowed: np.ndarray) -> None:
-            fits = allowed & (go[:-1, s] == cost + go[place + 1, to])
-            out[:-1, s, letter] = np.where(fits, 4 * (place + 1) + to, -FAR)
-
-        everywhere = np.ones(n, bool)
-        arc(0, lost, np.full(n, s), everywhere)
-        arc(2, kept, np.maximum(keep[:, s], 0), ~forced & (keep[:, s] >= 0))
-        arc(3, kept + 1, np.full(n, REROLE[s]), ~forced)
-        stay = np.arange(n + piece.last)  # after the last unit of a conversation too
-        fits = go[stay, s] == 5 + go[stay, REROLE[s]]
-        out[stay, s, 1] = np.where(fits, 4 * stay + REROLE[s], -FAR)
+        to = np.maximum(keep[:, s], 0)
+        for letter, cost, state, allowed in (
+            (0, lost, s, ~ended),
+            (2, kept, to, ~ended & ~forced & (keep[:, s] >= 0)),
+            (3, kept + 1, REROLE[s], ~ended & ~forced),
+        ):
+            fits = allowed & (go[:, s] == cost + go[after, state])
+            out[:, s, letter] = np.where(fits, 4 * (place + 1) + state, -1)
+        fits = open_ & (go[:, s] == 5 + go[:, REROLE[s]])
+        out[:, s, 1] = np.where(fits, 4 * place + REROLE[s], -1)
     return out.reshape(-1, 4)
 
 

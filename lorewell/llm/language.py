@@ -1,15 +1,16 @@
 """Language identification by cross-parsing entropy.
 
 Per language, a suffix automaton of labelled text tells how far a text can be followed. A
-text is parsed into phrases, each the longest that the language's text holds, plus the byte
-that breaks it; phrases times the bits of a pointer into that text, per byte, estimate the
-cross entropy. The language that needs fewest bits wins. Texts are parsed in pieces of
-`WIDTH` bytes, all pieces of a batch side by side as array steps.
+text is parsed into phrases, each the longest that the language's text holds; the byte that
+breaks one begins the next. Phrases times the bits of a pointer into that text, per byte,
+estimate the cross entropy. The language that needs fewest bits wins. Texts are parsed in
+pieces of `WIDTH` bytes, all pieces of a batch side by side as array steps; a phrase ends
+with its piece.
 
-Learning uses a bounded sample: at most `LANGUAGES` languages, `SAMPLE` documents of each
-and REFERENCE bytes of their texts (fewer for many languages, so that all automata
-stay below `ENTRIES` transitions). Documents are drawn by a hash of doc_id. Prediction
-reads every whole text, and only the text.
+Learning uses a bounded sample: of every language `SAMPLE` documents, drawn by a hash of
+doc_id, a piece of each from a place drawn likewise over its whole text, and REFERENCE bytes of
+these in all (fewer for many languages, so that all automata stay below `ENTRIES` transitions, but
+at least LEAST). Prediction reads every whole text, and only the text.
 
 Null text, and text without a letter, is `und` with score 0, as is everything when no
 language could be learned. A null doc_id is neither learned from nor held out. Repeated
@@ -27,21 +28,29 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewell.llm.pretokens import chunks, encoder
 from lorewell.llm.shared import map_batches, slices, table
 
 UNKNOWN = "und"
-LANGUAGES = 64
 SAMPLE = 200
 REFERENCE = 32_000
+LEAST = 1_024
 SAMPLE_CHARS = 2_000
 ENTRIES = 1 << 24
 WIDTH = 512
+# Every letter matches; so do a few numerals, which `lettered` sorts out.
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def lettered(text: str) -> bool:
+    """Does the text hold a letter?"""
+    first = LETTER.search(text)
+    return bool(first) and (first[0].isalpha() or any(c.isalpha() for c in text))
+
+
 def held_out() -> Column:
     """Is the remainder of crc32(doc_id as text) by 4 equal to 2? Null for a null doc_id."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
@@ -148,33 +157,35 @@ def parser(references: tuple[tuple[str, bytes], ...]) -> CrossParser:
 
 
 def learn_references(
-    docs: DataFrame, languages: int = LANGUAGES, sample: int = SAMPLE, size: int = REFERENCE
+    docs: DataFrame, sample: int = SAMPLE, size: int = REFERENCE
 ) -> tuple[tuple[str, bytes], ...]:
     """Labelled text per language, from documents that are not held out."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = (
-        labelled.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(languages).collect()  # bounded by `languages`
-    )
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(
+        F.col("lang").cast("string").alias("name"), "doc_id", F.col("text").cast("string").alias("text")
+    )
+    counts = labelled.groupBy("name").agg(F.count("*").alias("n")).collect()  # one row per language
     if not counts:
         return ()
     spark = docs.sparkSession
     rates = spark.createDataFrame(
-        [(x.lang, min(1.0, 2.0 * sample / x.n)) for x in counts], "name string, rate double"
+        [(x.name, min(1.0, 2.0 * sample / x.n)) for x in counts], "name string, rate double"
     )
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    places = F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("place")), places) + 1
+    first = W.partitionBy("name").orderBy("draw", "doc_id", "piece")
     drawn = (
-        labelled.select("lang", "doc_id", "text").withColumn("draw", draw)
-        .join(F.broadcast(rates), F.col("lang").cast("string") == F.col("name"))
-        .filter("draw < rate")
-        .select("name", "draw", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .collect()  # about twice `sample` pieces of SAMPLE_CHARS for each language
+        labelled.withColumn("draw", draw).join(F.broadcast(rates), "name").filter("draw < rate")
+        .select("name", "draw", "doc_id", F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("piece"))
+        .withColumn("at", F.row_number().over(first)).filter(F.col("at") <= 2 * sample)
+        .select("name", "draw", F.col("piece").alias("text"))
+        .collect()  # at most 2 * sample pieces of SAMPLE_CHARS for each language
     )
-    size = min(size, ENTRIES // (2 * 128 * len(counts)))
+    size = min(size, max(LEAST, ENTRIES // (2 * 128 * len(counts))))
     references = []
-    for name in sorted(x.lang for x in counts):
+    for name in sorted(x.name for x in counts):
         texts = dict.fromkeys(x.text for x in sorted(x for x in drawn if x.name == name))
-        own = [x.lower().encode("utf-8", "surrogatepass") for x in texts if LETTER.search(x)]
+        own = [x.lower().encode("utf-8", "surrogatepass") for x in texts if lettered(x)]
         share = max(200, size // max(1, min(len(own), sample)))
         joined = b" ".join(x[:share] for x in own)[:size]
         if joined:
@@ -186,7 +197,7 @@ def _guesses(texts: list[str | None], references: tuple[tuple[str, bytes], ...])
     out = []
     for group in chunks((x or "" for x in texts), limit=2_000_000):
         guesses = [(UNKNOWN, 0.0)] * len(group)
-        known = [i for i, x in enumerate(group) if references and LETTER.search(x)]
+        known = [i for i, x in enumerate(group) if references and lettered(x)]
         if known:
             for i, guess in zip(known, parser(references).predict([group[i] for i in known])):
                 guesses[i] = guess

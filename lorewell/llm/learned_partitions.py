@@ -1,17 +1,19 @@
 """Approximate nearest neighbours by learned partitions.
 
-A bounded sample (`SAMPLE` rows by a hash of vec_id) gets a neighbour graph; the graph is cut
-into balanced parts by label propagation under a size limit; a small network learns to tell
-a vector's part. Every row of the table is indexed in its most probable part. A query goes
-to its most probable parts, as many as the sample needs for a recall of `WANTED`, and all
-their rows are reranked by exact distances. Parts are searched in blocks, so a part
-with a third of all rows is many tasks.
+For every vector length that has rows for several parts, a bounded sample (`SAMPLE` rows by a
+hash of vec_id) gets a neighbour graph; the graph is cut into balanced parts by label
+propagation under a size limit; a small network learns to tell a vector's part. Every row of
+the table is indexed in its most probable part. A query goes to its most probable parts, as
+many as the sample needs for a recall of `WANTED`, and all their rows are reranked by exact
+distances. Parts are searched in blocks, so a part with a third of all rows is many tasks.
+Vectors of a length with few rows are one part by themselves, searched whole.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
-do rows without vec_id, nor vectors of another length than most of the sample. Ties go
-to the smaller vec_id; rows of the query's own vec_id are no candidates. A query
-reaches further parts until they hold more than k rows. A repeated query row is answered
-again. An empty table gives no rows.
+do rows without vec_id. Vectors are compared with those of their own length. Ties go to the
+smaller vec_id; rows of the query's own vec_id are no candidates. A query reaches further
+parts until they hold more than k rows. A repeated query row is answered again, in full. Very
+long vectors make blocks of as many rows as short ones. Columns other than vec_id and the
+vector are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from lorewell.llm.vectors import (
 
 K = 10
 SAMPLE = 8_192
-ROWS_PER_PART = 2_048
+ROWS_PER_PART = 256
 MOST_PARTS = 256
 NEIGHBOURS = 10
 WANTED = 0.98
@@ -112,14 +114,12 @@ def fit_router(x: np.ndarray, parts: int) -> Router:
     """Graph, parts and network from a sample; probes from the sample's own neighbours."""
     random = np.random.default_rng(1)
     width = x.shape[1]
-    mean = x.mean(0) if len(x) else np.zeros(width)
-    scale = 1 / max(1e-30, float((x - mean).std()) if len(x) else 1.0)
+    mean = x.mean(0)
+    scale = 1 / max(1e-30, float((x - mean).std()))
     router = Router(
         mean, scale, random.normal(0, math.sqrt(2 / width), (width, HIDDEN)), np.zeros(HIDDEN),
         random.normal(0, math.sqrt(1 / HIDDEN), (HIDDEN, parts)), np.zeros(parts), 1,
     )
-    if parts == 1 or len(x) < 2:
-        return router
     graph = neighbour_graph(x)
     label = balanced_parts(x, graph, parts)
     weights = [router.w1, router.b1, router.w2, router.b2]
@@ -158,31 +158,55 @@ def fit_router(x: np.ndarray, parts: int) -> Router:
     return router
 
 
-def _routed(router: Router, counts: list[int], k: int):
+@dataclass
+class Lengths:
+    """Routers by vector length, and the number of each one's first part.
+
+    A length without a router is one part, numbered below 0 by the length.
+    """
+
+    routers: dict[int, tuple[int, Router]]
+
+    def homes(self, vectors: list[list[float]]) -> np.ndarray:
+        """The most probable part of every vector."""
+        out = np.array([-len(v) for v in vectors])
+        for width, (first, router) in self.routers.items():
+            own = np.flatnonzero(out == -width)
+            if len(own):
+                out[own] = first + router.scores(np.array([vectors[i] for i in own])).argmax(1)
+        return out
+
+
+def _routed(lengths: Lengths, counts: dict[int, int], k: int):
     """(part, vec_id, vec) for every part a query visits."""
+    held = {
+        width: np.array([counts.get(first + i, 0) for i in range(len(router.b2))])
+        for width, (first, router) in lengths.routers.items()
+    }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        held = np.array(counts)
         for batch in batches:
-            names, vectors = (c.to_pylist() for c in batch.columns)
-            if not names:
-                continue
-            order = np.argsort(-router.scores(np.array(vectors)), axis=1)
-            reach = np.cumsum(held[order], axis=1)
-            for name, vector, parts, rows in zip(names, vectors, order.tolist(), reach):
-                probes = max(router.probes, int(np.searchsorted(rows, k + 1)) + 1)
-                for part in parts[:probes]:
-                    yield part, name, vector
+            for name, vector in zip(*(c.to_pylist() for c in batch.columns)):
+                width = len(vector)
+                if width not in lengths.routers:
+                    yield -width, name, vector
+                    continue
+                first, router = lengths.routers[width]
+                order = np.argsort(-router.scores(np.array([vector]))[0])
+                reach = np.cumsum(held[width][order])
+                probes = max(router.probes, int(np.searchsorted(reach, k + 1)) + 1)
+                for part in order[:probes].tolist():
+                    yield first + part, name, vector
 
     return run
 
 
-def _homes(router: Router):
+def _homes(lengths: Lengths):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             names, vectors = (c.to_pylist() for c in batch.columns)
             if names:
-                yield from zip(router.scores(np.array(vectors)).argmax(1).tolist(), names, vectors)
+                yield from zip(lengths.homes(vectors).tolist(), names, vectors)
 
     return run
 
@@ -194,18 +218,19 @@ def _rerank(k: int):
                 row = batch.slice(i, 1).to_pylist()[0]
                 ids, values = unpacked(row["ids"], row["data"], row["width"], "<f8")
                 q_ids, queries = unpacked(row["q_ids"], row["q_data"], row["width"], "<f8")
+                q_ids = q_ids.reshape(-1, 2)  # number of the query row, its vec_id
                 norms = (values * values).sum(1)
                 for first in range(0, len(q_ids), 128):
                     part = queries[first : first + 128]
                     rough = norms[None, :] - 2 * part @ values.T
-                    for name, query, far in zip(q_ids[first : first + 128].tolist(), part, rough):
+                    for (number, name), query, far in zip(q_ids[first : first + 128].tolist(), part, rough):
                         far[ids == name] = np.inf
                         kth = np.partition(far, min(k, len(far)) - 1)[min(k, len(far)) - 1]
                         room = 1e-9 * (float(norms.max()) + float(query @ query))
                         rows = np.flatnonzero((far <= kth + room) & (ids != name))
                         exact = np.sqrt(((values[rows] - query) ** 2).sum(1))
                         for j in np.lexsort((ids[rows], exact))[:k].tolist():
-                            yield name, query.tobytes(), int(ids[rows[j]]), float(exact[j])
+                            yield number, name, int(ids[rows[j]]), float(exact[j])
 
     return run
 
@@ -213,35 +238,48 @@ def _rerank(k: int):
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance); tables of vec_id and vec, written."""
     n = rows.count()
-    draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
-    share = min(1 << 30, math.ceil(1.2 * SAMPLE / max(n, 1) * (1 << 30)))
-    drawn = rows.filter(draw < share).orderBy(draw, "vec_id").limit(SAMPLE).collect()  # bounded by SAMPLE
-    width = Counter(len(x.vec) for x in drawn).most_common(1)[0][0] if drawn else 0
-    sample = np.array([x.vec for x in drawn if len(x.vec) == width], np.float64).reshape(-1, max(width, 1))
-    parts = min(MOST_PARTS, max(1, round(n / ROWS_PER_PART)), max(1, len(sample) // 16))
-    router = fit_router(sample, parts)
-    rows, queries = (x.filter(F.size("vec") == width).select("vec_id", "vec") for x in (rows, queries))
-    homes = map_batches(rows, _homes(router), "part int, vec_id bigint, vec array<double>")
+    lengths = _learn(rows)
+    homes = map_batches(rows.select("vec_id", "vec"), _homes(lengths), "part int, vec_id bigint, vec array<double>")
     spread = homes.repartitionByRange(parts_for(rows, n, BLOCK), "part", F.xxhash64("vec_id", "vec"))
     index = written(blocks(spread.sortWithinPartitions("part"), "<f8", BLOCK), "index")
-    counts = [0] * parts
-    for part, held in index.groupBy("part").agg(F.sum("rows")).collect():  # one row per part
-        counts[part] = held
-    routed = map_batches(queries, _routed(router, counts, k), "part int, vec_id bigint, vec array<double>")
-    n_queries = queries.count() * router.probes
-    ranged = routed.repartitionByRange(parts_for(rows, n_queries, QUERY_BLOCK), "part", "vec_id")
+    # one row per part, at most MOST_PARTS for each length with a router
+    counts = dict(index.filter("part >= 0").groupBy("part").agg(F.sum("rows")).collect())
+    # repeated query rows are told apart by a number
+    named = F.array(F.monotonically_increasing_id(), "vec_id").alias("vec_id")
+    asked = written(queries.select(named, "vec"), "asked")
+    routed = map_batches(asked, _routed(lengths, counts, k), "part int, vec_id array<bigint>, vec array<double>")
+    most = max((router.probes for _, router in lengths.routers.values()), default=1)
+    ranged = routed.repartitionByRange(parts_for(rows, asked.count() * most, QUERY_BLOCK), "part", "vec_id")
     asking = written(numbered_queries(ranged.sortWithinPartitions("part"), "<f8"), "queries")
     found = map_batches(
-        block_pairs(index, asking, 4 * parts), _rerank(k),
-        "query_id bigint, q_key binary, vec_id bigint, score double",
+        block_pairs(index, asking, 4 * max(1, len(counts))), _rerank(k),
+        "q_row bigint, query_id bigint, vec_id bigint, score double",
     )
-    best = W.partitionBy("query_id", "q_key").orderBy("score", "vec_id")
+    best = W.partitionBy("q_row").orderBy("score", "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
 
 
+def _learn(rows: DataFrame) -> Lengths:
+    """A router for each vector length that has rows for two parts and more."""
+    width = F.size("vec")
+    common = rows.groupBy(width.alias("width")).agg(F.count("*").alias("n")).filter(F.col("n") >= 2 * ROWS_PER_PART)
+    draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    routers: dict[int, tuple[int, Router]] = {}
+    first = 0
+    for size, n in sorted(tuple(x) for x in common.collect()):  # one row per length
+        share = min(1 << 30, math.ceil(1.2 * SAMPLE / n * (1 << 30)))
+        drawn = rows.filter((width == size) & (draw < share)).orderBy(draw, "vec_id").limit(SAMPLE).collect()
+        sample = np.array([x.vec for x in drawn], np.float64).reshape(-1, size)
+        parts = min(MOST_PARTS, round(n / ROWS_PER_PART), len(sample) // 16)
+        if parts > 1:
+            routers[size] = (first, fit_router(sample, parts))
+            first += parts
+    return Lengths(routers)
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(usable_vectors(table(spark, sf_dir, "embeddings"), zero=False), "vectors")
     return nearest(rows, rows.filter(F.pmod("vec_id", F.lit(100)) == 0))

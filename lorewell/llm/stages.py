@@ -1,4 +1,14 @@
-"""The operators as stages of the corpus pipeline: documents in, documents out."""
+"""The operators as stages of the corpus pipeline: documents in, documents out.
+
+Nulls, by stage: a null text has no letter, so the first stage drops it; a later stage given
+one takes it as empty (fingerprint zero, nothing to mask, size 0, one end token). A null doc_id,
+lang or source is a value like any other: it is never a reason to drop a row. Empty texts are
+handled as null ones. Texts are read whole, whatever their length. Repeated rows are separate
+documents up to near-dedup, which keeps one of them. Ties: of equal doc_ids in a group of
+copies the row that comes first in the written table stays; equal documents of one source
+are mixed by their row number. An empty table gives an empty table with the same columns.
+Columns beside those of documents are left out.
+"""
 
 from __future__ import annotations
 

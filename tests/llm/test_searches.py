@@ -56,6 +56,17 @@ def test_exact_top_k(spark, hard, monkeypatch, levels, few):
     assert impact_search.exact_top_k(rows.filter("vec_id < 0"), queries, 5).count() == 0
 
 
+def test_exact_top_k_equals_its_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    there = db.execute(f"SELECT query_id, rank, vec_id, score FROM ({impact_search.OP6_SQL})").fetchall()
+    got = impact_search.op6_exact_top_k(spark, folder).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(there) == sorted(map(tuple, got)) and there
+
+
 def vectors_of(frame_):
     F = impact_search.F
     whole = F.transform("vec", lambda x: F.floor(x * 256).cast("bigint"))
@@ -81,6 +92,7 @@ def test_nearest_neighbours(spark, hard, monkeypatch):
     rows = learned_partitions.written(usable_vectors(hard, zero=False), "v")
     out = learned_partitions.nearest(rows, rows.filter("vec_id % 100 = 0"), 10).collect()
     ours = [(i, v) for i, v in usable(hard.collect(), False) if len(v) == 8]
+    assert not [r for r in out if r.query_id in (2300,)]  # nothing else is as short as its vector
     hits = total = 0
     for name, q in ours:
         if name % 100 == 0:
@@ -96,6 +108,26 @@ def test_nearest_neighbours(spark, hard, monkeypatch):
     assert learned_partitions.nearest(rows.filter("vec_id < 0"), rows.filter("vec_id < 0")).count() == 0
 
 
+def test_repeated_queries_and_other_lengths(spark, monkeypatch):
+    """Half of the vectors are of another length, a few of a third; a query row stands there three times."""
+    monkeypatch.setattr(learned_partitions, "ROWS_PER_PART", 64)
+    draw = random.Random(6)
+    width = lambda i: 3 if i % 40 == 0 else 8 if i % 2 else 5
+    rows = [(i, [draw.gauss(0, 1) for _ in range(width(i))]) for i in range(800)]
+    rows += [rows[200]] * 2 + [rows[101]] * 2
+    table = learned_partitions.written(usable_vectors(frame(spark, rows), zero=False), "v")
+    assert len(learned_partitions._learn(table).routers) == 2
+    got = learned_partitions.nearest(table, table.filter("vec_id in (0, 101, 200, 202)"), 10).collect()
+    times = {0: 1, 101: 3, 200: 3, 202: 1}
+    for name, n in times.items():
+        q = np.array(rows[name][1])
+        ours = sorted((float(np.sqrt(((np.array(v) - q) ** 2).sum())), i) for i, v in rows if i != name and len(v) == len(q))
+        mine = sorted((r["rank"], r.vec_id) for r in got if r.query_id == name)
+        assert [r for r, _ in mine] == [r for r in range(1, 11) for _ in range(n)]
+        hits = {i for _, i in ours[:10]} & {i for _, i in mine}
+        assert len(hits) == 10 if name in (0, 200) else len(hits) >= 8
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(2).normal(size=(1000, 8))
     part = learned_partitions.balanced_parts(x, learned_partitions.neighbour_graph(x), 7)

@@ -9,10 +9,12 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lorewell.llm import language, mixing, secrets, simhash, stages
 from lorewell.llm.components import components
+from lorewell.llm.shared import tokenizer_path
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -243,6 +245,46 @@ def test_stages_on_hard_rows(spark, hard, none):
     assert mixed == +copies
 
 
-def test_pipeline(spark):
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
+def test_pipeline_equals_brute_force(spark, documents):
+    """Every stage on what the one before it gave, done again row by row."""
+    docs = documents
+    seen = [[r.asDict() for r in docs.collect()]]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stages.written(stage(spark, docs, ""), "step")
+        seen.append([r.asDict() for r in docs.collect()])
+    known, unique, masked, mixed = seen[1:]
+    assert {r["doc_id"] for r in known} == {
+        r["doc_id"] for r in seen[0] if r["text"] and any(c.isalpha() for c in r["text"])
+    }
+    given = {r["doc_id"]: r for r in seen[0]}
+    assert all(r | {"lang": given[r["doc_id"]]["lang"] or r["lang"]} == given[r["doc_id"]] | {"lang": r["lang"]} for r in known)
+    roots = naive_components([naive_fingerprint(r["text"]) for r in known])
+    least = {}
+    for r, c in zip(known, roots):
+        least[c] = min(least.get(c, r["doc_id"]), r["doc_id"])
+    assert sorted(r["doc_id"] for r in unique) == sorted(least.values()) and len(unique) < len(known)
+    texts = {r["doc_id"]: secrets.redact(r["text"]) for r in unique}
+    assert {r["doc_id"]: r["text"] for r in masked} == texts
+    sizes, wanted, copies = Counter(), Counter(), Counter(r["doc_id"] for r in mixed)
+    words = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in masked}
+    for r in masked:
+        sizes[r["source"]] += words[r["doc_id"]]
+        wanted[r["source"]] += words[r["doc_id"]] * copies[r["doc_id"]]
+    assert max(copies.values()) <= 3
+    for s, target in naive_targets(sizes).items():
+        assert abs(wanted[s] - target) <= max(1, max(words[r["doc_id"]] for r in masked if r["source"] == s))
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    pieces = []
+    for r in mixed:
+        ids = [*library.encode(r["text"], add_special_tokens=False).ids, 0]
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        pieces += [(r["doc_id"], i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))
+                   for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == sorted(pieces)
+    places = {}
+    for r in out:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        ends = [0, *(a + n for a, n in sorted(own))]
+        assert [a for a, _ in sorted(own)] == ends[:-1] and ends[-1] <= 2048
