@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,7 +123,7 @@ def word_vectors(conversations: DataFrame, edges: DataFrame, embeddings: DataFra
     words = said.select(F.explode(content_words(F.col("text"), STOP_WORDS)).alias("word")).distinct()
     draw = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint")
     rows = embeddings.select(
-        "vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("vec")
+        "vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("float")).alias("vec")
     )
     drawn = words.withColumn("vec_id", draw % embeddings.count())
     return drawn.join(rows, "vec_id").select("word", "vec")
@@ -268,3 +269,19 @@ def bst_episodes(conversations: DataFrame) -> DataFrame:
         F.transform("entries", lambda e: e["said"]).alias("dialog"),
         F.transform("entries", lambda e: e["items"]).alias("concepts"),
     )
+
+
+def array_files(rows: DataFrame, path: str) -> None:
+    """Write rows as JSON files that hold one array each, one file per task."""
+
+    def run(batches):
+        names = ["value"]
+        opened = False
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            lines = [("," if opened or i else "[") + x for i, x in enumerate(texts)]
+            opened = opened or bool(lines)
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if opened else "[]"], pa.string())], names=names)
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInArrow(run, "value string").write.text(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,17 @@ from pyspark.sql import functions as F
 from lorewell.functions.text import STOP_WORDS
 from lorewell.operators import edges as E
 from lorewell.operators import examples as X
+from lorewell.operators.annotated import Annotator
 from lorewell.operators.augment import augment
+from lorewell.operators.dense import DenseIndex
 from lorewell.operators.knowledge import EdgeIndex, build_index
 from lorewell.operators.scratch import shuffle_partitions, written
 from lorewell.operators.terms import Lemma
 from lorewell.sources import assertions as SA
 from lorewell.sources import dialogs as SD
 
+CHECKED = "file string, line_no bigint, line string, error string"
+
 
 def build_knowledge_base(
     spark: SparkSession,
@@ -30,8 +35,8 @@ def build_knowledge_base(
     """Edge dump -> `filtered` (all relations), `restricted` (top ones) and `graph` below `out`.
 
     Also `relations`, the kept ones with their special tokens, and `no_weight`,
-    rows of the language without a usable weight. The dump is scanned once to count lines
-    and once for the numbered rows of the language, which are spread and written.
+    rows of the language without a usable weight. The dump is scanned once; the rows of the
+    language are spread and written with their numbers.
     """
     raw = SA.read_assertions(spark, dump, numbered=True)
     rows = E.with_weight(E.english_edges(raw, lang))
@@ -68,29 +73,40 @@ def augment_dataset(
     spark: SparkSession,
     dataset: str,
     paths: str | list[str],
-    index: EdgeIndex,
+    index: EdgeIndex | DenseIndex,
     out: str,
     split: str = "train",
-    variant: str = "concepts",
+    variant: str | None = None,
     lemma: Lemma | None = None,
     stop_words: Sequence[str] = STOP_WORDS,
+    annotator: Annotator | None = None,
 ) -> None:
     """Dialogue files of one dataset and split -> the same with knowledge.
 
     Lines go to `out/checked` as a table with file, line number and error, and
     from there to `out/lines` as plain text in their order; nested episodes go
-    to `out/episodes`. All are laid out by dataset, split and variant.
+    to `out/episodes`. All are laid out by dataset, split and variant (`variant_name` unless
+    given); a rerun replaces its own three only. `out/files` of a run has one output for each input
+    file, with a manifest.
     """
-    folder = f"dataset={dataset}/split={split}/variant={variant}"
+    variant = variant or SD.variant_name(dataset, True)
+    place = (dataset, split, variant)
+    # a run has its own folder, earlier ones stay
+    files = f"{out}/files/dataset={dataset}/split={split}/variant={variant}/run={uuid.uuid4().hex}"
     if dataset == "wow":
         episodes = SD.read_dialog_json(spark, paths)
-        found = augment("wow", episodes, index, lemma, stop_words)
-        SD.write_dialog_json(found.drop("file"), f"{out}/episodes/{folder}")
+        found = augment("wow", episodes, index, lemma, stop_words, annotator)
+        SD.write_layout(found, f"{out}/episodes", *place, fmt="json")
+        fields = F.to_json(F.struct(*[c for c in found.columns if c not in ("file", "episode_id")]))
+        lines = found.select("file", F.col("episode_id").alias("line_no"), fields.alias("line"))
+        SD.write_line_files(lines, files)
         return
-    found = augment(dataset, SD.read_dialog_lines(spark, paths), index, lemma, stop_words)
-    found.write.parquet(f"{out}/checked/{folder}")
-    checked = spark.read.schema(found.schema).parquet(f"{out}/checked/{folder}")
-    SD.write_dialog_lines(checked, f"{out}/lines/{folder}")
+    found = augment(dataset, SD.read_dialog_lines(spark, paths), index, lemma, stop_words, annotator)
+    SD.write_layout(found, f"{out}/checked", *place)
+    checked = SD.read_table(spark, f"{out}/checked", CHECKED, *place)
+    laid_out = checked.withColumns(dict(zip(SD.LAYOUT, map(F.lit, place))))
+    SD.write_dialog_lines(laid_out, f"{out}/lines", partition_by=SD.LAYOUT)
+    SD.write_line_files(checked, files)
 
 
 def read_examples(
@@ -98,17 +114,17 @@ def read_examples(
     dataset: str,
     root: str,
     split: str = "train",
-    variant: str = "concepts",
+    variant: str | None = None,
+    candidates: bool = True,
     **options,
 ) -> DataFrame:
-    """Augmented dataset -> training examples."""
+    """Augmented dataset -> training examples of the variant that `variant_name` gives, or a named one."""
+    place = (dataset, split, variant or SD.variant_name(dataset, True, candidates))
     if dataset == "wow":
-        path = f"{root}/episodes/dataset=wow/split={split}/variant={variant}"
         schema = SD.WOW_SCHEMA.replace("concepts: array<string>", "concepts: string")
-        episodes = SD.read_dialog_json(spark, path, schema, array_file=False)
-        return X.wow_examples(episodes, **options)
-    folder = f"dataset={dataset}/split={split}/variant={variant}"
-    lines = spark.read.parquet(f"{root}/checked/{folder}").drop("error")
+        schema += ", file string, episode_id bigint"
+        return X.wow_examples(SD.read_table(spark, f"{root}/episodes", schema, *place, fmt="json"), **options)
+    lines = SD.read_table(spark, f"{root}/checked", CHECKED, *place).drop("error")
     readers = {
         "bst": X.bst_examples,
         "convai": X.convai_examples,

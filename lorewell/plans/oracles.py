@@ -608,3 +608,26 @@ ORACLES["truncate_history"] = """WITH h AS (
   FROM conversations)
 SELECT conv_id, turn, array_to_string(ws[-32:], ' ') AS history,
   array_to_string(string_split(text, ' ')[1:12], ' ') AS label FROM h"""
+
+# --- sources and sinks -----------------------------------------------------
+
+ORACLES["io_assertions"] = f"""WITH {KB}
+SELECT lang AS file, row_number() OVER (PARTITION BY lang ORDER BY uri) AS line_no, uri, relation, start_uri,
+  end_uri, weight
+FROM (SELECT *, regexp_extract(start_uri, '^/c/([a-z]+)/', 1) AS lang FROM fx_assertions)"""
+ORACLES["io_edges"] = f"""WITH {KB}
+SELECT uri, relation, start_uri, end_uri, weight AS raw_weight, weight FROM fx_assertions
+WHERE starts_with(start_uri, '/c/en/') AND starts_with(end_uri, '/c/en/') AND weight >= 1"""
+ORACLES["io_lines"] = f"""WITH {PLACED}, {ED}
+SELECT file, line_no, line FROM lines
+UNION ALL
+SELECT DISTINCT file, 1, 'conv_id,utterance_idx,context,prompt,speaker_idx,utterance,selfeval,tags' FROM placed"""
+ORACLES["io_layout"] = f"""WITH {PLACED}, {BST}, laid AS (
+  SELECT CASE WHEN CAST(substr(file, 2) AS BIGINT) % 2 = 0 THEN 'train' ELSE 'valid' END AS split, * FROM lines)
+SELECT split, row_number() OVER (PARTITION BY split ORDER BY file, line_no) AS line_no,
+  CASE WHEN split = 'train' THEN 'again ' ELSE '' END || line AS line FROM laid"""
+ORACLES["io_episodes"] = f"""
+SELECT conv_id, arg_min({TWO}[1], turn) AS chosen_topic, count(*) AS n,
+  string_agg(CASE WHEN role = 'assistant' THEN '1_Wizard' ELSE '0_Apprentice' END || ':' || text, chr(10)
+    ORDER BY turn) AS dialog
+FROM conversations GROUP BY conv_id"""

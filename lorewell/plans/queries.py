@@ -22,6 +22,8 @@ from lorewell.operators import terms as T
 from lorewell.operators.backport import backport_concepts
 from lorewell.operators.scratch import scratch_path, written
 from lorewell.plans import fixtures as fx
+from lorewell.sources import assertions as SA
+from lorewell.sources import dialogs as SD
 from lorewell.streaming.context import context_stream, read_context
 from lorewell.streaming.turns import augment_turn_stream, read_augmented
 
@@ -64,8 +66,13 @@ def weighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collapsed edges of the top relations, stem test included."""
-    edges = written(E.drop_same_stem(weighted_edges(spark, sf_dir)), "filtered")
+    """Collapsed edges of the top relations, stem test included.
+
+    The language filter is taken to the scan: an assertion has the language of its document.
+    """
+    documents = fx.table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
+    weighted = E.min_weight(E.with_weight(E.english_edges(fx.assertions(documents))))
+    edges = written(E.drop_same_stem(E.with_labels(weighted)), "filtered")
     return E.collapse_edges(E.restrict_relations(edges, E.top_relations(edges)))
 
 
@@ -74,8 +81,11 @@ def edge_index(spark: SparkSession, sf_dir: str) -> K.EdgeIndex:
 
 
 def dense_index(spark: SparkSession, sf_dir: str) -> D.DenseIndex:
-    """Sentences and triples as sums of word vectors of 64 components."""
-    edges = written(knowledge_base(spark, sf_dir), "edges")
+    """Sentences and triples as sums of word vectors of 64 components; edges of mentioned starts."""
+    sents = T.message_sentences(conversations(spark, sf_dir), TURN)
+    mentioned = T.sentence_terms(sents, TURN, plural_lemma).select(F.col("term").alias("start")).distinct()
+    edges = knowledge_base(spark, sf_dir).join(mentioned, "start", "left_semi")
+    edges = written(edges, "edges")
     embeddings = fx.table(spark, sf_dir, "embeddings")
     words = written(fx.word_vectors(conversations(spark, sf_dir), edges, embeddings), "words")
     return D.index_dense_edges(edges, D.word_sum_encoder(words, 64))
@@ -460,3 +470,75 @@ def knowledge_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(KT.parse_items("listed")).cast("bigint").alias("n_listed"),
         F.size(KT.parse_items("enveloped")).cast("bigint").alias("n_enveloped"),
     )
+
+
+# --- sources and sinks -----------------------------------------------------
+
+
+@query
+def io_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dump in a folder per language, numbered in one scan."""
+    rows = assertions(spark, sf_dir)
+    line = F.concat_ws("\t", *rows.columns)
+    dump = rows.select(
+        F.regexp_extract("start_uri", "^/c/([a-z]+)/", 1).alias("lang"), F.col("uri").alias("line_no"),
+        F.lit("dump").alias("file"), line.alias("line"),
+    )
+    path = scratch_path(spark, "dump")
+    SD.write_dialog_lines(dump, path, partition_by=("lang",))
+    back = SA.read_assertions(spark, path, numbered=True, folder_is_file=True)
+    return back.select(
+        F.regexp_extract("file", "([^/=]*)$", 1).alias("file"), "line_no", "uri", "relation", "start_uri", "end_uri",
+        F.get_json_object("extra", "$.weight").cast("double").alias("weight"),
+    )
+
+
+@query
+def io_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered edges written with a header and read back."""
+    edges = E.min_weight(E.with_weight(E.english_edges(assertions(spark, sf_dir))))
+    path = scratch_path(spark, "edges")
+    SA.write_edges(edges.select("uri", "relation", "start_uri", "end_uri", "extra", "weight"), path, "csv")
+    back = SA.read_edges(spark, path, "csv")
+    weighed = F.get_json_object("extra", "$.weight").cast("double").alias("raw_weight")
+    return back.select("uri", "relation", "start_uri", "end_uri", weighed, "weight")
+
+
+@query
+def io_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One output for each dialogue file, read back under the files' own names."""
+    path = scratch_path(spark, "files")
+    SD.write_line_files(fx.ed_lines(conversations(spark, sf_dir)), path)
+    return SD.read_line_files(spark, path)
+
+
+@query
+def io_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two splits are laid out, one is replaced by marked lines; both are read back."""
+    lines = written(fx.bst_lines(conversations(spark, sf_dir)), "lines")
+    path = scratch_path(spark, "layout")
+    even = F.substring("file", 2, 20).cast("bigint") % 2 == 0
+    named = lines.withColumns(
+        {"dataset": F.lit("bst"), "split": F.when(even, "train").otherwise("valid"), "variant": F.lit("plain")}
+    )
+    SD.write_dialog_lines(named, path, partition_by=SD.LAYOUT)
+    again = named.filter("split = 'train'").withColumn("line", F.concat(F.lit("again "), "line"))
+    SD.write_dialog_lines(again, path, partition_by=SD.LAYOUT)
+    found = [
+        SD.read_layout(spark, path, "bst", split).select(F.lit(split).alias("split"), "line_no", "line")
+        for split in ("train", "valid")
+    ]
+    return found[0].unionByName(found[1])
+
+
+@query
+def io_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one JSON array each, read by many tasks."""
+    path = scratch_path(spark, "arrays")
+    fx.array_files(fx.wow_episodes(conversations(spark, sf_dir)), path)
+    schema = "conv_id bigint, chosen_topic string, dialog array<struct<speaker: string, text: string>>"
+    episodes = SD.read_dialog_json(spark, path, schema)
+    said = F.transform("dialog", lambda e: F.concat_ws(":", e["speaker"], e["text"]))
+    return episodes.select(
+        "conv_id", "chosen_topic", F.size("dialog").cast("bigint").alias("n"), F.array_join(said, "\n").alias("dialog")
+    )

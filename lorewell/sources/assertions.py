@@ -12,12 +12,16 @@ COLLAPSED_SCHEMA = "start string, end string, relation string, weight double"
 
 
 def read_assertions(
-    spark: SparkSession, path: str | list[str], numbered: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    numbered: bool = False,
+    folder_is_file: bool = False,
 ) -> DataFrame:
     """Tab-separated dump without a header; gzip is read as it is.
 
-    `numbered` adds `file` and `line_no` for the last-row-wins rule. A gzip file
-    is one split: convert it once with `write_edges`.
+    `numbered` adds `file` and `line_no` for the last-row-wins rule; with `folder_is_file` the
+    part files of a folder are numbered as one. The dump is scanned once; a gzip file is one split,
+    but what is made of its staged rows is not.
     """
     rows = (
         spark.read.schema(ASSERTION_SCHEMA)
@@ -26,7 +30,7 @@ def read_assertions(
         .option("escape", "")
         .csv(path)
     )
-    return with_line_numbers(rows) if numbered else rows
+    return with_line_numbers(rows, folder_is_file) if numbered else rows
 
 
 def read_edges(

@@ -14,6 +14,7 @@ WOW_SCHEMA = (
     "chosen_topic string, label_candidates array<string>, "
     "dialog array<struct<speaker: string, text: string, concepts: array<string>>>"
 )
+LAYOUT = ("dataset", "split", "variant")
 BST_SCHEMA = "dialog array<array<string>>, concepts array<array<string>>"
 
 
@@ -80,6 +81,31 @@ def read_dialog_json(
     return with_line_numbers(rows).withColumnRenamed("line_no", "episode_id")
 
 
+def _in_layout(dataset: str, split: str, variant: str):
+    return (F.col("dataset") == dataset) & (F.col("split") == split) & (F.col("variant") == variant)
+
+
+def write_layout(rows: DataFrame, root: str, dataset: str, split: str, variant: str, fmt: str = "parquet") -> None:
+    """Write rows as one dataset, split and variant below `root`.
+
+    What was there under these three is replaced, everything beside it stays.
+    """
+    named = rows.withColumns({"dataset": F.lit(dataset), "split": F.lit(split), "variant": F.lit(variant)})
+    _replacing(named).partitionBy(*LAYOUT).format(fmt).save(root)
+
+
+def _replacing(rows: DataFrame):
+    return rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+
+
+def read_table(
+    spark: SparkSession, root: str, schema: str, dataset: str, split: str, variant: str, fmt: str = "parquet"
+) -> DataFrame:
+    """Rows of one dataset, split and variant, as `write_layout` left them; other folders are not read."""
+    rows = spark.read.schema(schema).format(fmt).load(root)
+    return rows.filter(_in_layout(dataset, split, variant)).drop(*LAYOUT)
+
+
 def read_layout(
     spark: SparkSession, root: str, dataset: str, split: str, variant: str = "plain"
 ) -> DataFrame:
@@ -87,10 +113,8 @@ def read_layout(
 
     The filter is on partition columns, so other folders are not read.
     """
-    lines = spark.read.text(root).filter(
-        (F.col("dataset") == dataset) & (F.col("split") == split) & (F.col("variant") == variant)
-    )
-    numbered = with_line_numbers(lines.drop("dataset", "split", "variant"), folder_is_file=True)
+    lines = spark.read.text(root).filter(_in_layout(dataset, split, variant))
+    numbered = with_line_numbers(lines.drop(*LAYOUT), folder_is_file=True)
     return numbered.withColumnRenamed("value", "line")
 
 
@@ -108,7 +132,8 @@ def write_dialog_lines(
 ) -> None:
     """Write `line` in the order of (file, line_no).
 
-    Part files read in name order give the lines back as they were.
+    Part files read in name order give the lines back as they were. With `partition_by` only
+    the folders that get rows are replaced.
     """
     order = [*partition_by, "file", "line_no"]
     ranged = (
@@ -117,8 +142,47 @@ def write_dialog_lines(
         else lines.repartitionByRange(*order)
     )
     sorted_lines = ranged.sortWithinPartitions(*order)
-    writer = sorted_lines.select(*partition_by, F.col("line").alias("value")).write
-    (writer.partitionBy(*partition_by) if partition_by else writer).text(path)
+    values = sorted_lines.select(*partition_by, F.col("line").alias("value"))
+    if partition_by:
+        _replacing(values).partitionBy(*partition_by).text(path)
+    else:
+        values.write.text(path)
+
+
+def write_line_files(lines: DataFrame, path: str) -> None:
+    """One output for each input file: `path/parts` and the table `path/manifest`.
+
+    The lines of a file are spread over tasks by stretches of line numbers; each writes its own
+    part, in a folder of the file. The manifest is made from the parts of the tasks that
+    were committed: (file, number, part, bytes), numbered in the order of the lines, so a file is
+    its parts one after the other. What a lost task left behind is in no manifest.
+    """
+    key = F.md5("file").alias("key")
+    keyed = lines.select(key, "file", "line_no", "line")
+    order = ["key", "line_no"]
+    spread = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    spread.select("key", F.col("line").alias("value")).write.partitionBy("key").text(f"{path}/parts")
+    spark = lines.sparkSession
+    parts = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*")
+        .load(f"{path}/parts").select("path", F.col("length").alias("bytes"))
+        .withColumn("key", F.regexp_extract("path", "/key=([0-9a-f]{32})/", 1))
+    )
+    names = lines.select("file", key).distinct()
+    # one row per part; part names rise with the stretches
+    number = F.row_number().over(W.partitionBy("file").orderBy("path")).cast("bigint")
+    listed = parts.join(names, "key").select("file", number.alias("number"), F.col("path").alias("part"), "bytes")
+    listed.write.parquet(f"{path}/manifest")
+
+
+def read_line_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of all files that `write_line_files` wrote, under their own names."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    names = manifest.select(F.regexp_extract("part", "/key=([0-9a-f]{32})/", 1).alias("_key"), F.col("file").alias("_name")).distinct()
+    numbered = with_line_numbers(spark.read.text(f"{path}/parts").drop("key"), folder_is_file=True)
+    keyed = numbered.withColumn("_key", F.regexp_extract("file", "/key=([0-9a-f]{32})$", 1))
+    named = keyed.join(broadcast_if_small(names), "_key")
+    return named.select(F.col("_name").alias("file"), "line_no", F.col("value").alias("line"))
 
 
 def write_dialog_json(episodes: DataFrame, path: str) -> None:

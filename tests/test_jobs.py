@@ -4,6 +4,7 @@ import glob
 import json
 
 from lorewell.plans import jobs
+from lorewell.sources import dialogs as D
 
 DUMP = [
     ("IsA", "dog", "animal/n", 2.0),
@@ -49,16 +50,20 @@ def test_files_to_examples(spark, tmp_path):
         jobs.augment_dataset(spark, name, str(path), index, out)
 
     knowledge = "__knowledge__dog__IsA__animal__endknowledge____knowledge__dog__IsA__tail__endknowledge__"
-    parts = sorted(glob.glob(f"{out}/lines/dataset=convai/split=train/variant=concepts/part-*"))
+    parts = sorted(glob.glob(f"{out}/lines/dataset=convai/split=train/variant=self_original_concepts/part-*"))
     written = "".join(open(p).read() for p in parts)
     assert written == f"1 your persona: i like dogs.\n2 my dog{knowledge}\tyo\t\ta|b\n"
+    (files,) = glob.glob(f"{out}/files/dataset=convai/split=train/variant=self_original_concepts/run=*")
+    back = D.read_line_files(spark, files).orderBy("line_no").collect()
+    assert "".join(r["line"] + "\n" for r in back) == written
+    assert {r["file"].rsplit("/", 1)[1] for r in back} == {"convai.txt"}
     checked = spark.read.parquet(f"{out}/checked/dataset=bst/split=train/variant=concepts")
     errors = checked.filter("error is not null").collect()
     assert [r["error"] for r in errors] == ["no free_message"]
 
     (part,) = glob.glob(f"{out}/episodes/dataset=wow/split=train/variant=concepts/part-*")
     (episode,) = [json.loads(x) for x in open(part)]
-    episode.pop("episode_id")
+    assert episode.pop("file").endswith("wow.json") and episode.pop("episode_id") == 1
     assert [e.pop("concepts") for e in episode["dialog"]] == [knowledge, ""]
     assert episode == wow[0]  # no field is lost
 
