@@ -11,6 +11,8 @@ from lorewell.functions import lines as L
 from lorewell.operators.ordered import dense_rank_by_digest, running, with_neighbour
 
 LONG_EPISODE = 100
+# The rules of a key:value line, by the words their messages begin with.
+RULES = ("eval_labels", "missing text", "missing labels", "missing concepts")
 
 
 # --- key:value lines -------------------------------------------------------
@@ -75,6 +77,16 @@ def bst_examples(lines: DataFrame, skip_empty: bool = False) -> DataFrame:
     )
 
 
+def error_counts() -> list[Column]:
+    """Aggregates over validated lines: `lines`, `bad`, and how often each rule was broken."""
+
+    def broken(rule: str) -> Column:
+        hit = F.exists("errors", lambda e: e.startswith(rule))
+        return F.count_if(hit).alias(rule.replace(" ", "_"))
+
+    return [F.count("*").alias("lines"), F.count_if(F.size("errors") > 0).alias("bad"), *map(broken, RULES)]
+
+
 def raise_on_errors(validated: DataFrame) -> DataFrame:
     """Strict reading: a line with an error ends the job when it is reached."""
     checked = F.when(

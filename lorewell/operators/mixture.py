@@ -25,13 +25,15 @@ def mix_datasets(
     key: str = "id",
     seed: int = 0,
     total: int | None = None,
+    positions: bool = False,
 ) -> DataFrame:
     """Draw from each `dataset` its share of `total`, by default as many rows as there are.
 
     A dataset larger than its share gives the rows with the lowest digests; a
     smaller one repeats all rows as often as needed, then those first ones once
     more. `copy` counts the repeats from 0. Rows are ranked by digest blocks, so
-    a dataset need not fit a task.
+    a dataset need not fit a task. With `positions` every row gets its `position` (from 0) in an
+    order that holds the weights all along.
     """
     listed = examples.filter(F.col("dataset").isin(list(weights)))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
@@ -49,7 +51,11 @@ def mix_datasets(
     )
     quota = F.floor(wanted * weight / F.lit(sum(weights.values()))).cast("bigint")
     # at most one row per dataset name in `weights`
-    quotas = F.broadcast(sizes.select("dataset", "_size", quota.alias("_quota")))
+    quotas = sizes.select("dataset", "_size", quota.alias("_quota"))
+    if positions:
+        all_quotas = F.collect_list(F.struct("dataset", "_quota")).over(W.partitionBy())
+        quotas = quotas.withColumn("_quotas", all_quotas)
+    quotas = F.broadcast(quotas)
     full = F.floor(F.col("_quota") / F.col("_size"))
     extra = (F.col("_place") <= F.col("_quota") % F.col("_size")).cast("bigint")
     rows = ranked.join(quotas, "dataset").withColumn("_copies", full + extra).filter("_copies > 0")
@@ -58,9 +64,41 @@ def mix_datasets(
     starts = F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1, step)
     spread = rows.withColumn("_from", F.explode(starts))
     last = F.least(F.col("_from") + step, F.col("_copies")) - 1
-    return spread.withColumn("copy", F.explode(F.sequence("_from", last))).drop(
-        "_place", "_size", "_quota", "_copies", "_from"
+    copied = spread.withColumn("copy", F.explode(F.sequence("_from", last)))
+    if positions:
+        rank = F.col("copy") * F.col("_size") + F.col("_place") - 1
+        copied = copied.withColumn("position", interleaved_position(rank)).drop("_quotas")
+    return copied.drop("_place", "_size", "_quota", "_copies", "_from")
+
+
+def interleaved_position(rank: Column) -> Column:
+    """Place of a dataset's row number `rank` (from 0) among the rows of all datasets.
+
+    Row r of a dataset with quota q stands at (r + 1/2) / q of the way, ties by dataset name; so
+    any stretch holds of each dataset its share to within a row or two. How many rows of
+    another dataset come before follows from whole numbers, and nothing is sorted for it. Needs
+    `dataset`, its `_quota`, and `_quotas`, those of all datasets.
+    """
+    odd = (rank * 2 + 1).cast("decimal(20,0)")
+
+    def before(other: Column) -> Column:
+        # rows s with (2s + 1) * quota < (2 rank + 1) * other quota, or <= for an earlier name
+        reach = odd * other["_quota"].cast("decimal(18,0)")
+        whole = F.call_function("div", reach, F.col("_quota"))
+        exact = whole.cast("decimal(19,0)") * F.col("_quota").cast("decimal(18,0)") == reach
+        below = F.when(exact & (other["dataset"] > F.col("dataset")), whole - 1).otherwise(whole)
+        rows = F.call_function("div", below + 1, F.lit(2))
+        return F.when(other["dataset"] == F.col("dataset"), rank).otherwise(rows)
+
+    return F.aggregate("_quotas", F.lit(0).cast("bigint"), lambda acc, q: acc + before(q))
+
+
+def training_order(mixed: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows spread by stretches of `position`, in order inside each; write them as they are."""
+    spread = (
+        mixed.repartitionByRange(parts, "position") if parts else mixed.repartitionByRange("position")
     )
+    return spread.sortWithinPartitions("position")
 
 
 def history_text(

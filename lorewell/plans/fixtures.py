@@ -172,22 +172,28 @@ def two_words(text: Column | str = "text") -> Column:
 
 
 def bst_lines(
-    conversations: DataFrame, concepts: bool = False, broken: bool = False
+    conversations: DataFrame, concepts: bool = False, broken: bool = False, faults: bool = False
 ) -> DataFrame:
-    """`broken`: the closing line of some conversations has no labels."""
+    """`broken`: the closing line of some conversations has no labels; `faults`: or another fault."""
     closes = F.col("turn") + 1 == F.col("last_turn")
-    no_labels = F.lit(broken) & closes & (F.col("conv_id") % 7 == 3)
+
+    def fault(number: int, given: bool) -> Column:
+        return F.lit(given) & closes & (F.col("conv_id") % 7 == number)
+
+    no_labels = fault(3, broken or faults)
     done = F.when(F.col("turn") + 1 == F.col("last_turn"), F.lit("\tepisode_done:True"))
     parts = [
-        F.lit("text:"),
+        F.when(fault(4, faults), F.lit("note:")).otherwise(F.lit("text:")),
         F.coalesce("prev", F.lit("")),
         F.lit("\tfree_message:"),
         F.col("text"),
         F.when(no_labels, F.lit("")).otherwise(F.concat(F.lit("\tlabels:"), "next")),
         F.coalesce(done, F.lit("")),
     ]
+    parts.append(F.when(fault(5, faults), F.lit("\teval_labels:x")).otherwise(F.lit("")))
     if concepts:
-        parts += [F.lit("\tconcepts:"), F.array_join(two_words(), "|")]
+        cell = F.concat(F.lit("\tconcepts:"), F.array_join(two_words(), "|"))
+        parts.append(F.when(fault(6, faults), F.lit("")).otherwise(cell))
     return (
         placed_turns(conversations)
         .filter(F.col("next").isNotNull())

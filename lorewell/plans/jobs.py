@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import STOP_WORDS
@@ -109,6 +109,30 @@ def augment_dataset(
     SD.write_line_files(checked, files)
 
 
+def write_validated(lines: DataFrame, out: str, strict: bool = False) -> dict[str, int]:
+    """Check `key:value` lines and write them in one pass: good ones and those in quarantine.
+
+    The counts come from the same pass: `lines`, `bad`, and how often each rule was broken. With
+    `strict` any bad line is an error, raised when the pass is over, so that the message and
+    the quarantine are whole.
+    """
+    counts = Observation()
+    checked = X.validate_examples(lines).select("file", "line_no", "line", "errors")
+    place = F.when(F.size("errors") == 0, "good").otherwise("quarantine")
+    watched = checked.observe(counts, *X.error_counts()).withColumn("place", place)
+    watched.write.partitionBy("place").parquet(out)
+    found = counts.get
+    if strict and found["bad"]:
+        raise ValueError(f"{found['bad']} of {found['lines']} lines are bad: {found}; see {out}/place=quarantine")
+    return found
+
+
+def read_validated(spark: SparkSession, out: str, place: str = "good") -> DataFrame:
+    """The good lines, or those in quarantine with their errors; the other folder is not read."""
+    schema = "file string, line_no bigint, line string, errors array<string>, place string"
+    return spark.read.schema(schema).parquet(out).filter(F.col("place") == place).drop("place")
+
+
 def read_examples(
     spark: SparkSession,
     dataset: str,

@@ -536,6 +536,18 @@ FROM n WHERE NOT {NO_LABELS} GROUP BY file"""
 ORACLES["validate_examples"] = f"""WITH {PLACED}, {BST}
 SELECT file, line_no, CASE WHEN {NO_LABELS} THEN 'missing labels in line ' || line_no || '; ' ELSE '' END
   || 'missing concepts in line ' || line_no AS errors FROM lines"""
+ORACLES["quarantine"] = f"""WITH {PLACED}, {BST}, rule AS (
+  SELECT file, line_no, CASE WHEN turn + 1 <> last_turn THEN NULL ELSE CASE conv_id % 7
+    WHEN 5 THEN 'eval_labels' WHEN 4 THEN 'missing text' WHEN 3 THEN 'missing labels'
+    WHEN 6 THEN 'missing concepts' END END AS rule
+  FROM lines),
+n AS (
+  SELECT count(*) AS n_lines, count(rule) AS n_bad, count(*) FILTER (rule = 'eval_labels') AS n_eval_labels,
+    count(*) FILTER (rule = 'missing text') AS n_missing_text,
+    count(*) FILTER (rule = 'missing labels') AS n_missing_labels,
+    count(*) FILTER (rule = 'missing concepts') AS n_missing_concepts
+  FROM rule)
+SELECT file, line_no, rule || ' in line ' || line_no AS errors, n.* FROM rule, n WHERE rule IS NOT NULL"""
 ORACLES["ed_examples"] = f"""WITH {PLACED}, l AS (
   SELECT *, seq + 1 AS line_no, {TWO} AS two FROM placed),
 p AS (
@@ -573,17 +585,18 @@ SELECT file, line_no, turn + 1 AS number,
   CASE WHEN persona THEN '' ELSE next || '|' || role END AS label_candidates,
   persona AS is_persona
 FROM lines"""
+CODE = """CAST(list_sum(list_transform({0}.embedding,
+  lambda x, i: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) * i)) AS BIGINT)"""
 ORACLES["row_vectors"] = f"""WITH {PLACED}
-SELECT p.file, p.seq + 1 AS line_no, CAST(a.embedding[1] AS DOUBLE) AS context_first,
-  CAST(b.embedding[1] AS DOUBLE) AS label_first
+SELECT p.file, p.seq + 1 AS line_no, {CODE.format("a")} AS context_code, {CODE.format("b")} AS label_code
 FROM placed p LEFT JOIN embeddings a ON a.vec_id = p.seq - 2
 LEFT JOIN embeddings b ON b.vec_id = p.seq - 1 WHERE p.prev IS NOT NULL"""
 ORACLES["label_prefix"] = """WITH s AS (
-  SELECT vec_id, unnest(range(0, 10)) AS d, unnest(embedding[1:10]) AS v FROM embeddings),
+  SELECT vec_id, unnest(range(0, 64)) AS d, unnest(embedding) AS v FROM embeddings),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, d) AS rank FROM s
   QUALIFY rank <= 3),
-p AS (SELECT vec_id, string_agg('l' || d || ' ', '' ORDER BY rank DESC) AS prefix FROM r GROUP BY 1)
+p AS (SELECT vec_id, string_agg('l' || lpad(CAST(d AS VARCHAR), 2, '0') || ' ', '' ORDER BY rank DESC) AS prefix FROM r GROUP BY 1)
 SELECT conv_id, turn, coalesce(prefix, '') || text AS text
 FROM conversations LEFT JOIN p ON p.vec_id = conv_id"""
 ORACLES["sample_contexts"] = """WITH o AS (SELECT conv_id, text FROM conversations WHERE turn = 0),
@@ -602,6 +615,13 @@ q AS (
   SELECT *, total * CASE WHEN dataset = 'bst' THEN 1 ELSE 3 END // 10 AS quota FROM p),
 k AS (SELECT *, quota // size + CASE WHEN place <= quota % size THEN 1 ELSE 0 END AS n FROM q)
 SELECT dataset, id, unnest(range(n)) AS copy FROM k"""
+ORACLES["interleave_datasets"] = ORACLES["mix_datasets"].replace(
+    "SELECT dataset, id, unnest(range(n)) AS copy FROM k",
+    """, c AS (SELECT dataset, id, place, size, quota, unnest(range(n)) AS copy FROM k)
+SELECT row_number() OVER (
+    ORDER BY CAST(2 * (copy * size + place - 1) + 1 AS DOUBLE) / CAST(quota AS DOUBLE), dataset) - 1 AS position,
+  dataset, id, copy FROM c""",
+)
 ORACLES["truncate_history"] = """WITH h AS (
   SELECT conv_id, turn, text, string_split(string_agg(text, '  ') OVER (PARTITION BY conv_id
     ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) || '  __end__', ' ') AS ws

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.functions import knowledge_text as KT
@@ -22,6 +22,7 @@ from lorewell.operators import terms as T
 from lorewell.operators.backport import backport_concepts
 from lorewell.operators.scratch import scratch_path, written
 from lorewell.plans import fixtures as fx
+from lorewell.plans import jobs as J
 from lorewell.sources import assertions as SA
 from lorewell.sources import dialogs as SD
 from lorewell.streaming.context import context_stream, read_context
@@ -366,6 +367,17 @@ def validate_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("file", "line_no", F.array_join("errors", "; ").alias("errors"))
 
 
+@query
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that break a rule, beside the counts observed while all lines were written."""
+    lines = fx.bst_lines(conversations(spark, sf_dir), concepts=True, faults=True)
+    out = scratch_path(spark, "validated")
+    counts = J.write_validated(lines, out)
+    bad = J.read_validated(spark, out, "quarantine")
+    seen = [F.lit(n).cast("bigint").alias(f"n_{name}") for name, n in counts.items()]
+    return bad.select("file", "line_no", F.array_join("errors", "; ").alias("errors"), *seen)
+
+
 @query
 def ed_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = fx.ed_lines(conversations(spark, sf_dir), concepts=True)
@@ -398,11 +410,14 @@ def row_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("row"), "embedding"
     )
     out = X.attach_row_vectors(X.pair_turns(lines), vectors)
+
+    def code(vec: str) -> Column:
+        """One whole number from all components."""
+        weighed = F.transform(vec, lambda x, i: F.floor(x.cast("double") * 256) * (i + 1))
+        return F.aggregate(weighed, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
     return out.select(
-        "file",
-        "line_no",
-        F.get("context_vec", F.lit(0)).cast("double").alias("context_first"),
-        F.get("label_vec", F.lit(0)).cast("double").alias("label_first"),
+        "file", "line_no", code("context_vec").alias("context_code"), code("label_vec").alias("label_code")
     )
 
 
@@ -410,11 +425,11 @@ def row_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = fx.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
-        F.posexplode(F.slice("embedding", 1, 10)).alias("d", "v"),
+        F.posexplode("embedding").alias("d", "v"),
     )
     scores = scores.select(
         "id",
-        F.concat(F.lit("__label__l"), F.col("d").cast("string")).alias("label"),
+        F.concat(F.lit("__label__l"), F.lpad(F.col("d").cast("string"), 2, "0")).alias("label"),
         F.col("v").cast("double").alias("score"),
     )
     prefix = X.top_label_prefix(scores, k=3)
@@ -433,14 +448,25 @@ def sample_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.sample_contexts(episodes, contexts, seed=7)
 
 
-@query
-def mix_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dataset, id): the turns dealt to the datasets of the mixture."""
     names = F.array(*[F.lit(n) for n in M.LARGE_MIXTURE])
-    rows = conversations(spark, sf_dir).select(
+    return conversations(spark, sf_dir).select(
         F.element_at(names, (F.col("conv_id") % 4 + 1).cast("int")).alias("dataset"),
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
     )
-    return M.mix_datasets(rows, M.LARGE_MIXTURE, seed=7)
+
+
+@query
+def mix_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.mix_datasets(mixture_rows(spark, sf_dir), M.LARGE_MIXTURE, seed=7)
+
+
+@query
+def interleave_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture in an order that holds its weights in every stretch."""
+    mixed = M.mix_datasets(mixture_rows(spark, sf_dir), M.LARGE_MIXTURE, seed=7, positions=True)
+    return M.training_order(mixed).select("position", "dataset", "id", "copy")
 
 
 @query

@@ -3,6 +3,8 @@
 import glob
 import json
 
+import pytest
+
 from lorewell.plans import jobs
 from lorewell.sources import dialogs as D
 
@@ -75,3 +77,28 @@ def test_files_to_examples(spark, tmp_path):
     assert [r["labels"] for r in got["convai"]] == [[], ["yo"]]
     assert [(r["text"], r["label"]) for r in got["empathy"]] == [("my dog" + body, "a hot dog, yes")]
     assert [(r["text"], r["labels"]) for r in got["wow"]] == [("dog" + body, ["ok"])]
+
+
+def test_lines_are_checked_and_counted_in_one_pass(spark, tmp_path):
+    good = "text:a\tlabels:b\tconcepts:c"
+    rows = [good, good + "\teval_labels:x", "labels:b\tconcepts:c", "text:a\tconcepts:c", "text:a\tlabels:b", "text:a"]
+    lines = spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(rows)], "file string, line_no long, line string")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    watched = lines.mapInArrow(counted, lines.schema)
+    counts = jobs.write_validated(watched, f"{tmp_path}/a")
+    assert reads.value == len(rows)  # no line was read twice
+    assert counts == {
+        "lines": 6, "bad": 5, "eval_labels": 1, "missing_text": 1, "missing_labels": 2, "missing_concepts": 2,
+    }
+    assert [r["line_no"] for r in jobs.read_validated(spark, f"{tmp_path}/a").collect()] == [1]
+    bad = jobs.read_validated(spark, f"{tmp_path}/a", "quarantine").orderBy("line_no").collect()
+    assert [len(r["errors"]) for r in bad] == [1, 1, 1, 1, 2]
+    with pytest.raises(ValueError, match="5 of 6"):
+        jobs.write_validated(lines, f"{tmp_path}/b", strict=True)
+    assert jobs.write_validated(lines.limit(1), f"{tmp_path}/c", strict=True)["bad"] == 0
