@@ -21,7 +21,7 @@ from lorewell.operators.annotated import (
 )
 from lorewell.operators.dense import DenseIndex, dense_candidates
 from lorewell.operators.scratch import shuffle_partitions, written
-from lorewell.operators.sizes import broadcast_if_small
+from lorewell.operators.sizes import broadcast_if_small, hashed_if_even, is_small, planned_bytes
 from lorewell.operators.terms import (
     Lemma,
     first_mention,
@@ -212,9 +212,77 @@ def indexed_candidates(terms: DataFrame, index: EdgeIndex) -> DataFrame:
     )
 
 
-def short_scores(terms: DataFrame, index: EdgeIndex) -> DataFrame:
-    """Scored candidates; each mention carries the word counts of its sentence."""
-    return sparse_scores(indexed_candidates(terms, index))
+def is_large(index: EdgeIndex) -> bool:
+    """Are there too many edges to broadcast, so that terms must be shuffled to them?"""
+    return index.hubs is not None and not is_small(index.edges)
+
+
+def short_scores(
+    terms: DataFrame, counts: DataFrame, index: EdgeIndex, sentence: Sequence[str]
+) -> DataFrame:
+    """Scored candidates; each mention carries the word counts of its sentence.
+
+    `counts` holds them once per sentence. Both should come from written tables if `is_large`.
+    """
+    if is_large(index):
+        return _near_scores(terms, index, sentence).unionByName(
+            _listed_scores(terms, counts, index, sentence)
+        )
+    return sparse_scores(indexed_candidates(terms, index)).select(*sentence, "group_no", *TRIPLE, "score")
+
+
+def _near_scores(terms: DataFrame, index: EdgeIndex, sentence: Sequence[str]) -> DataFrame:
+    """The k best of the edges that answer a mention of their start, cut in the mention's row.
+
+    A start is one row with its edges: no more than the degree limit, or the winners of a hub.
+    """
+    edge = F.struct("relation", "end", "triple_words", "triple_norm", "end_words")
+    near = (
+        index.edges.filter("word = ''").groupBy("start").agg(F.collect_list(edge).alias("near"))
+    )
+    near = hashed_if_even(near, planned_bytes(index.edges), shuffle_partitions(terms))
+    met = terms.join(near, terms["term"] == near["start"], "inner")
+    # those that share a word of their end with the sentence are met by that word
+    lone = F.filter(
+        "near", lambda e: ~F.exists(e["end_words"], lambda w: F.map_contains_key("tf", w))
+    )
+    scored = F.transform(
+        lone,
+        lambda e: F.struct(
+            (
+                -V.cosine_from_counts(
+                    V.term_dot(F.col("tf"), e["triple_words"]), F.col("norm"), e["triple_norm"]
+                )
+            ).alias("less"),
+            e["relation"].alias("relation"),
+            e["end"].alias("end"),
+        ),
+    )
+    best = F.slice(F.array_sort(scored), 1, index.k)
+    rows = met.select(*sentence, "group_no", "start", F.inline(best))
+    return rows.select(*sentence, "group_no", *TRIPLE, (-F.col("less")).alias("score"))
+
+
+def _listed_scores(
+    terms: DataFrame, counts: DataFrame, index: EdgeIndex, sentence: Sequence[str]
+) -> DataFrame:
+    """Edges of hubs met by a word of their end.
+
+    What is asked, a hub and a word, travels without the sentence's counts; only what was
+    found goes back to them.
+    """
+    hubs = index.hubs.select(F.col("start").alias("hub"))
+    asked = terms.join(broadcast_if_small(hubs), terms["term"] == F.col("hub"), "left_semi")
+    probes = asked.select(*sentence, "group_no", "term", F.explode(F.map_keys("tf")).alias("probe"))
+    listed = index.edges.filter("word <> ''")
+    listed = hashed_if_even(listed, planned_bytes(index.edges), shuffle_partitions(terms))
+    found = probes.join(
+        listed, (probes["term"] == listed["start"]) & (probes["probe"] == listed["word"]), "inner"
+    ).select(*sentence, "group_no", *TRIPLE, "word", "end_words", "triple_words", "triple_norm")
+    met = found.join(counts.select(*sentence, "tf", "norm"), list(sentence))
+    first = F.get(F.filter("end_words", lambda w: F.map_contains_key("tf", w)), F.lit(0))
+    met = met.filter(F.col("word") == first).drop("word", "end_words")
+    return sparse_scores(met).select(*sentence, "group_no", *TRIPLE, "score")
 
 
 def long_scores(
@@ -304,12 +372,15 @@ def annotated_knowledge(
     """`message_knowledge` for messages that an outside annotator has cut into tokens and chunks."""
     sentence = [*keys, "sent_no"]
     terms = annotated_terms(annotation, keys)
+    if isinstance(index, EdgeIndex) and is_large(index):
+        terms = written(terms, "terms")
     if isinstance(index, DenseIndex):
         vectors = index.encode(annotated_sentences(annotation, keys), sentence, "sentence")
         return rank_dense(terms, written(vectors, "vectors"), index, keys, bag)
     counts = written(annotated_counts(annotation, keys), "counts")
     fits = F.size("tf") <= long_words
-    short = short_scores(terms.join(counts.filter(fits), sentence), index)
+    fitting = counts.filter(fits)
+    short = short_scores(terms.join(fitting, sentence), fitting, index, sentence)
     long = counts.filter(~fits)
     rest = long_scores(terms.join(long.drop("tf"), sentence), long, index, sentence)
     group = [*sentence, "group_no"]
@@ -354,12 +425,14 @@ def message_knowledge(
         ranked = top_triples(scored, group, index.k, bag)
         return ranked.select(*group, "rank", *TRIPLE, "score")
 
+    if is_large(index):
+        short = written(short, "counts")
     terms = sentence_terms(short, keys, lemma, carry=("tf", "norm"))
     long_terms = sentence_terms(long, keys, lemma, carry=("norm",))
     # a sentence is in one part only, so each part can be ranked by itself; the few long ones
     # are then put where their message is, which leaves the union spread by key
     rest = best(long_scores(long_terms, long, index, [*keys, "sent_no"]))
-    return best(short_scores(terms, index)).unionByName(
+    return best(short_scores(terms, short, index, [*keys, "sent_no"])).unionByName(
         rest.repartition(shuffle_partitions(messages), *keys)
     )
 
@@ -413,11 +486,13 @@ def context_knowledge(
     if isinstance(index, DenseIndex):
         vectors = index.encode(sents, sentence, "sentence")
         return first_known(rank_dense(terms, written(vectors, "vectors"), index, keys), conv, turn)
+    if is_large(index):
+        terms = written(terms, "terms")
     short, long = _counted(sents.drop("runs"), long_words)
     short_terms = terms.join(short, sentence)
     long_terms = terms.join(long.drop("tf"), sentence)
     columns = [*group, *TRIPLE, "score"]
-    scored = short_scores(short_terms, index).select(*columns)
+    scored = short_scores(short_terms, short, index, sentence).select(*columns)
     rest = long_scores(long_terms, long, index, sentence).select(*columns)
     return first_known(top_triples(scored.unionByName(rest), group, index.k), conv, turn)
 
@@ -452,8 +527,11 @@ def rank_sentences(
         vectors = index.encode(sents, [*keys, "sent_no"], "sentence")
         return rank_dense(sentence_terms(sents, keys, lemma), written(vectors, "vectors"), index, keys, bag)
     short, long = _counted(sents, long_words)
+    if is_large(index):
+        short = written(short, "counts")
     columns = [*group, *TRIPLE, "score"]
-    scored = short_scores(sentence_terms(short, keys, lemma, carry=("tf", "norm")), index)
+    short_terms = sentence_terms(short, keys, lemma, carry=("tf", "norm"))
+    scored = short_scores(short_terms, short, index, [*keys, "sent_no"])
     long_terms = sentence_terms(long, keys, lemma, carry=("norm",))
     rest = long_scores(long_terms, long, index, [*keys, "sent_no"])
     ranked = top_triples(scored.select(*columns).unionByName(rest.select(*columns)), group, index.k, bag)

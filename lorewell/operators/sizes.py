@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Size of the files or of the planned rows; a written edge table grows about fivefold in memory.
 BROADCAST_BYTES = 64 << 20
+# The same for a part of a table that a task keeps as a hash table.
+PART_BYTES = 8 << 20
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -14,10 +16,20 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Is the plan within the limit, in a session that has not switched broadcasts off?"""
+    off = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-")
+    return not off and planned_bytes(df) <= limit
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Mark for broadcast if the plan is within the limit; else Spark sorts and merges.
 
     A session that switches broadcasts off is left alone.
     """
-    off = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-")
-    return df if off or planned_bytes(df) > limit else F.broadcast(df)
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def hashed_if_even(df: DataFrame, source_bytes: int, parts: int) -> DataFrame:
+    """Mark the build side of a shuffled hash join if a part of it fits a task; else Spark sorts and merges."""
+    return df.hint("shuffle_hash") if source_bytes <= PART_BYTES * parts else df

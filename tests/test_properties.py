@@ -148,6 +148,26 @@ def test_extraction_without_broadcast(spark):
     assert got == brute_force(texts, data, 3)
 
 
+@pytest.mark.parametrize("long_words", [3, 1000])
+def test_shuffled_hub_lookup_leaves_the_counts_behind(spark, long_words):
+    data, edges = random_edges(spark, 41)
+    texts, messages = random_messages(spark, 42)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = K.index_edges(edges, 3, 5)
+        ranked = K.message_knowledge(messages, index, ["id"], long_words=long_words)
+        plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+        rows = K.knowledge_arrays(ranked, ["id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # what a hub is asked, word by word, goes on without the sentence's counts
+    probes = [x for x in plan.splitlines() if "Generate explode(map_keys(tf" in x]
+    assert probes and all("), [] " not in x for x in probes)  # the exploded map is dropped at once
+    got = {r["id"]: [tuple(t) for t in r["triples"]] for r in rows}
+    assert got == {i: t for i, t in brute_force(texts, data, 3).items() if t}
+
+
 def test_built_index_gives_the_same(spark):
     _, edges = random_edges(spark, 7)
     _, messages = random_messages(spark, 8)
