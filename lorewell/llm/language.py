@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorewell.llm.pretokens import chunks, encoder
-from lorewell.llm.shared import map_batches, slices, table
+from lorewell.llm.pretokens import chunks
+from lorewell.llm.shared import map_batches, model, one_model, slices, table
 
 UNKNOWN = "und"
 SAMPLE = 200
@@ -150,6 +150,7 @@ class CrossParser:
         yield from zip([self.names[i] for i in best], score.tolist())
 
 
+@model
 @lru_cache(maxsize=1)
 def parser(references: tuple[tuple[str, bytes], ...]) -> CrossParser:
     """Built once per worker process from the few kilobytes of text that a task carries."""
@@ -214,7 +215,7 @@ def keep_known(docs: DataFrame, references: tuple[tuple[str, bytes], ...]) -> Da
     at = schema.fieldNames().index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()  # a worker keeps one model at a time
+        one_model(parser)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
@@ -231,7 +232,7 @@ def predict_languages(docs: DataFrame, references: tuple[tuple[str, bytes], ...]
     """doc_id, held_out, lang_pred, score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        encoder.cache_clear()  # a worker keeps one model at a time
+        one_model(parser)
         for names, flags, texts in slices(batches):
             for name, held, guess in zip(names, flags, _guesses(texts, references)):
                 yield name, held, *guess

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lorewell.llm.pretokens import chunks, encoder
 from lorewell.llm.shared import (
-    map_batches, parts_for, slices, table, text_of, tokenizer_path, written,
+    map_batches, one_model, parts_for, slices, table, text_of, tokenizer_path, written,
 )
 
 CAPACITY = 2048
@@ -43,6 +43,7 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        one_model(encoder)
         coder = encoder(path)
         for names, texts in slices(batches):
             done = 0

@@ -18,6 +18,8 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 
+from lorewell.llm.shared import model
+
 LETTER, NUMBER, SPACE, OTHER, BREAK = range(5)
 # The characters of the White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -221,6 +223,7 @@ class PretokenIds:
         return out
 
 
+@model
 @lru_cache(maxsize=4)
 def encoder(path: str) -> PretokenIds:
     """One encoder per worker process and file."""

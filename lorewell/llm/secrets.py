@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm.pretokens import encoder
-from lorewell.llm.shared import map_batches, slices, table, text_of
+from lorewell.llm.shared import map_batches, one_model, slices, table, text_of
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = 3
@@ -146,7 +145,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     at = schema.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()  # a worker keeps one model at a time
+        one_model()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)

@@ -13,10 +13,27 @@ from pyspark.sql.types import StructType
 
 from lorewell.operators.scratch import scratch_path, shuffle_partitions, written
 
-__all__ = ["as_batches", "map_batches", "parts_for", "scratch_path", "shuffle_partitions",
+__all__ = ["as_batches", "map_batches", "model", "one_model", "parts_for", "scratch_path", "shuffle_partitions",
            "slices",            "table", "text_of", "tokenizer_path", "written"]
 
 
+MODELS: list[Callable] = []
+
+
+def model(cached: Callable) -> Callable:
+    """Enter a cached maker of a large object, of which a worker holds one kind at a time."""
+    MODELS.append(cached)
+    return cached
+
+
+def one_model(kept: Callable | None = None) -> None:
+    """A worker serves one stage after the other: drop what stages before have left in it."""
+    for cached in MODELS:
+        if cached is not kept:
+            cached.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

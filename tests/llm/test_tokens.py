@@ -3,10 +3,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from lorewell.llm import packing, token_files
+from lorewell.llm import language, packing, pretokens, token_files
 from lorewell.llm.pretokens import PretokenIds
 from lorewell.llm.shared import tokenizer_path
 from lorewell.llm.token_counts import count_tokens
@@ -107,3 +108,21 @@ def test_counts_equal_the_library(hard, none, path):
         wanted.append((r.doc_id, len((r.text or "").encode()), n, n > 1024))
     assert sorted(map(repr, wanted)) == sorted(repr(tuple(r)) for r in got)
     assert count_tokens(none, path).count() == 0
+
+
+def test_packing_drops_the_models_of_stages_before(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def first_step(df, run, schema):
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a dog"]})
+        assert len(list(run(iter([batch])))) == 1
+        raise Seen
+
+    language.parser((("en", b"the dog and the cat"),))
+    monkeypatch.setattr(packing, "map_batches", first_step)
+    docs = spark.createDataFrame([(1, "a dog")], "doc_id long, text string")
+    with pytest.raises(Seen):
+        packing.document_pieces(docs, tokenizer_path("byte_bpe_50k.json"))
+    assert language.parser.cache_info().currsize == 0
+    assert pretokens.encoder.cache_info().currsize == 1
