@@ -168,6 +168,25 @@ def test_shuffled_hub_lookup_leaves_the_counts_behind(spark, long_words):
     assert got == {i: t for i, t in brute_force(texts, data, 3).items() if t}
 
 
+def test_shuffled_lookup_takes_null_and_repeated_keys(spark):
+    _, edges = random_edges(spark, 43)
+    texts, _ = random_messages(spark, 44, 12)
+    rows = [(None if i % 3 == 0 else i // 6, t) for i, t in enumerate([*texts, *texts])]
+    messages = spark.createDataFrame(rows, "id long, text string")
+    index = K.index_edges(edges, 3, 5)
+
+    def found():
+        return sorted(map(repr, K.message_knowledge(messages, index, ["id"]).collect()))
+
+    broadcast = found()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert found() == broadcast
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_built_index_gives_the_same(spark):
     _, edges = random_edges(spark, 7)
     _, messages = random_messages(spark, 8)
