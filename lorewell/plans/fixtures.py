@@ -45,14 +45,28 @@ def word_runs(documents: DataFrame) -> DataFrame:
     triples = docs.select("lang", F.inline(zipped).alias("w", "w2", "w3")).filter(
         ~F.col("w").isin(STOP_WORDS) & ~F.col("w2").isin(STOP_WORDS)
     )
-    runs = F.when(
-        F.col("w3").isNull() | F.col("w3").isin(STOP_WORDS), F.array(F.lit(None).cast("string"))
-    ).otherwise(F.array(F.lit(None).cast("string"), F.col("w3")))
-    return (
-        triples.select("lang", "w", "w2", F.explode(runs).alias("w3"))
-        .groupBy("lang", "w", "w2", "w3")
+    # a run travels once, as one string (words have no spaces), to where all runs of its pair are
+    longer = F.when(~F.col("w3").isin(STOP_WORDS), F.col("w3"))
+    run = triples.select("lang", F.concat_ws(" ", "w", "w2", longer).alias("run"))
+    pair = F.substring_index("run", " ", 2)
+    spread = run.repartition(shuffle_partitions(documents), "lang", pair)
+    third = F.get(F.split("run", " "), F.lit(2))
+    nothing = F.lit(None).cast("string")
+    thirds = F.when(third.isNull(), F.array(nothing)).otherwise(F.array(nothing, third))
+    counted = (
+        spread.select("lang", pair.alias("pair"), F.explode(thirds).alias("w3"))
+        .groupBy("lang", "pair", "w3")
         .agg(F.count("*").alias("n"))
     )
+    ws = F.split("pair", " ")
+    return counted.select("lang", ws[0].alias("w"), ws[1].alias("w2"), "w3", "n")
+
+
+def assertion_uri() -> Column:
+    """The URI of an assertion from its relation and its two ends."""
+    return F.concat(
+        F.lit("/a/["), "relation", F.lit("/,"), "start_uri", F.lit("/,"), "end_uri", F.lit("/]")
+    )
 
 
 def _as_assertions(parts: DataFrame) -> DataFrame:
@@ -65,10 +79,7 @@ def _as_assertions(parts: DataFrame) -> DataFrame:
             F.lit('{"weight": '), (F.col("n") / F.lit(2.0)).cast("string"), F.lit("}")
         ).alias("extra"),
     )
-    uri = F.concat(
-        F.lit("/a/["), "relation", F.lit("/,"), "start_uri", F.lit("/,"), "end_uri", F.lit("/]")
-    )
-    return rows.select(uri.alias("uri"), "relation", "start_uri", "end_uri", "extra")
+    return rows.select(assertion_uri().alias("uri"), "relation", "start_uri", "end_uri", "extra")
 
 
 def assertions(documents: DataFrame) -> DataFrame:

@@ -73,7 +73,8 @@ def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     documents = fx.table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
     weighted = E.min_weight(E.with_weight(E.english_edges(fx.assertions(documents))))
-    edges = written(E.drop_same_stem(E.with_labels(weighted)), "filtered")
+    kept = E.drop_same_stem(E.with_labels(weighted))
+    edges = written(kept.select("uri", "relation", "start", "end", "weight"), "filtered")
     return E.collapse_edges(E.restrict_relations(edges, E.top_relations(edges)))
 
 
@@ -505,13 +506,15 @@ def knowledge_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def io_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dump in a folder per language, numbered in one scan."""
     rows = assertions(spark, sf_dir)
-    line = F.concat_ws("\t", *rows.columns)
-    dump = rows.select(
-        F.regexp_extract("start_uri", "^/c/([a-z]+)/", 1).alias("lang"), F.col("uri").alias("line_no"),
-        F.lit("dump").alias("file"), line.alias("line"),
-    )
+    uri = fx.assertion_uri()
+    line = F.concat_ws("\t", *[uri if c == "uri" else c for c in rows.columns])
+    dump = rows.drop("uri").withColumns(
+        {"lang": F.regexp_extract("start_uri", "^/c/([a-z]+)/", 1), "file": F.lit("dump")}
+    )
     path = scratch_path(spark, "dump")
-    SD.write_dialog_lines(dump, path, partition_by=("lang",))
+    SD.write_dialog_lines(
+        dump, path, partition_by=("lang",), line_no=uri, line=line, compression="gzip"
+    )
     back = SA.read_assertions(spark, path, numbered=True, folder_is_file=True)
     return back.select(
         F.regexp_extract("file", "([^/=]*)$", 1).alias("file"), "line_no", "uri", "relation", "start_uri", "end_uri",
