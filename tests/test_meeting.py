@@ -1,8 +1,12 @@
 """Mentions meet their edges after one shuffle."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from lorewell.functions import vectors as V
 from lorewell.operators import knowledge as K
 from lorewell.operators import meeting as G
 
@@ -63,3 +67,31 @@ def test_long_sentences_take_only_edges_of_their_terms(spark):
     index = K.index_edges(hub_edges(spark), 3, 5)
     terms = spark.createDataFrame([("cat",), (None,)], "term string")
     assert {r["start"] for r in K._mentioned(index, terms).vectors.collect()} == {"cat"}
+
+
+def test_every_candidate_has_its_score_whatever_its_length(spark):
+    """Short edges, long ones, and edges without words."""
+    rows = [
+        ("dog", "cat " * n + f"e{n}", "/r/IsA", ["dog"] + ["cat"] * n + [f"e{n}"], n * n + 2) for n in range(12)
+    ]
+    rows += [("dog", "none", "/r/IsA", [], 0), ("dog", "null", "/r/IsA", None, None)]
+    edges = spark.createDataFrame(
+        rows, "start string, end string, relation string, triple_words array<string>, triple_norm long"
+    )
+    terms = spark.createDataFrame(
+        [(1, "dog", {"dog": 1, "cat": 2}, 5), (2, "dog", {}, 0)], "id long, term string, tf map<string,int>, norm long"
+    )
+    got = {(r["id"], r["end"]): r["score"] for r in K.sparse_scores(K.candidate_triples(terms, edges)).collect()}
+    assert len(got) == 28
+    for n in range(12):
+        assert got[1, "cat " * n + f"e{n}"] == (1 + 2 * n) / math.sqrt(5 * (n * n + 2))
+    assert got[1, "none"] == got[1, "null"] == got[2, "e0"] == 0.0
+
+
+def test_rounding_equals_that_of_spark(spark):
+    draw = random.Random(3)
+    values = [draw.random() * 10 ** draw.randrange(-7, 13) * draw.choice([1, -1]) for _ in range(20000)]
+    values += [i / 2e6 for i in range(-4000, 4000)] + [0.0, -0.0, 0.9999995, 1e300, float("inf"), None]
+    table = spark.createDataFrame([(v,) for v in values], "x double")
+    other = table.filter(~V.rounded(F.col("x")).eqNullSafe(F.round("x", 6)))
+    assert other.count() == 0
