@@ -95,3 +95,23 @@ def test_rounding_equals_that_of_spark(spark):
     table = spark.createDataFrame([(v,) for v in values], "x double")
     other = table.filter(~V.rounded(F.col("x")).eqNullSafe(F.round("x", 6)))
     assert other.count() == 0
+
+
+def hub_mentions(spark):
+    """One start has nearly all candidates; rows stand there twice, terms are null."""
+    rows = [
+        (i // 2, None if i % 50 == 0 else "dog" if i % 3 else f"x{i}", {"dog": 1, f"w{i % 40}": 2, "b": 3}, 14)
+        for i in range(600)
+    ]
+    return spark.createDataFrame(rows, "id long, term string, tf map<string,int>, norm long")
+
+
+def test_candidates_of_a_hub_are_spread_over_the_parts(spark, tmp_path):
+    for n in (40, 2000):  # more mentions than edges, and fewer
+        terms, edges = hub_mentions(spark), hub_edges(spark, n)
+        met = K.candidate_triples(terms, edges, K.spread_starts(terms, edges))
+        columns = ["id", "term", "relation", "end"]
+        rows = lambda df: sorted(map(repr, df.select(*columns).collect()))
+        assert rows(met) == rows(K.candidate_triples(terms, edges))
+        sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < sum(sizes) / 8 and len(sizes) > 24
