@@ -5,8 +5,8 @@ equal quantised component. A query reads all segments of a block by descending i
 component times segment bound) and adds lower bounds to its accumulators. From time to time
 it asks for proof: rows whose upper bound, with all that is still unread, stays below the
 k-th best lower bound cannot be members. Once few enough rows are left they are rescored
-exactly; without proof all segments are read. Blocks of queries meet blocks of rows, and
-each gives k rows back for every query.
+exactly; without proof all segments are read. A block of rows is indexed where the blocks of
+queries come to it, and gives k rows back for every query.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
 without vec_id; vectors are compared with those of equal length only. Ties go to the
@@ -25,10 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorewell.llm.shared import map_batches, table, written
-from lorewell.llm.vectors import (
-    BLOCK, QUERY_BLOCK, block_pairs, blocks, numbered_queries, unpacked, usable_vectors,
-)
+from lorewell.llm.shared import map_batches, shuffle_partitions, table, written
+from lorewell.llm.vectors import BLOCK, QUERY_BLOCK, blocks, numbered_queries, unpacked, usable_vectors
 
 K = 5
 LEVELS = 64
@@ -90,25 +88,46 @@ class ImpactIndex:
 
 def _search(k: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        now, index, ids = None, None, np.empty(0, np.int64)
+        here, kept = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                if row["v_block"] != now:
-                    now = row["v_block"]
-                    ids, values = unpacked(row["ids"], row["data"], row["width"], dtype)
-                    index = ImpactIndex(values)
-                q_ids, queries = unpacked(row["q_ids"], row["q_data"], row["width"], dtype)
-                for number, (name, query) in enumerate(zip(q_ids.tolist(), queries)):
-                    rows = index.top(query, k, np.flatnonzero(ids == name))
-                    exact = index.values[rows] @ query
-                    best = np.lexsort((ids[rows], -exact))[:k]
-                    for j in best.tolist():
-                        yield row["q_block"], number, name, int(ids[rows[j]]), int(exact[j])
+                if here != (row["part"], row["piece"]):
+                    here, kept = (row["part"], row["piece"]), {}
+                ids, values = unpacked(row["ids"], row["data"], row["width"], dtype)
+                if row["q_block"] is None:
+                    kept.setdefault(row["width"], []).append((ids, ImpactIndex(values)))
+                    continue
+                for of, index in kept.get(row["width"], ()):
+                    for number, (name, query) in enumerate(zip(ids.tolist(), values)):
+                        rows = index.top(query, k, np.flatnonzero(of == name))
+                        exact = index.values[rows] @ query
+                        best = np.lexsort((of[rows], -exact))[:k]
+                        for j in best.tolist():
+                            yield row["q_block"], number, name, int(of[rows[j]]), int(exact[j])
 
     return run
 
 
+def met_blocks(index: DataFrame, asking: DataFrame, parts: int, asked: int) -> DataFrame:
+    """Blocks of rows, each part's before the blocks of queries that it is asked.
+
+    A block of queries goes to every part. Few parts are cut into pieces, which have all rows of
+    their part and a share of the queries, so that all tasks have work. Blocks travel in a shuffle
+    and never through the driver, however small their files are.
+    """
+    tasks = 4 * shuffle_partitions(index)
+    pieces = max(1, min(asked, math.ceil(tasks / parts)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece")
+    share = F.pmod(F.shiftright("q_block", 33), F.lit(pieces)).cast("int").alias("piece")
+    block = ["width", "ids", "data"]
+    listed = index.select("part", every, F.lit(None).cast("bigint").alias("q_block"), *block)
+    at = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    both = listed.unionByName(asking.select(at, share, "q_block", *block))
+    spread = both.repartition(min(2 * parts * pieces, 4 * tasks), "part", "piece")
+    return spread.sortWithinPartitions("part", "piece", F.col("q_block").isNotNull())
+
+
 def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score; both tables have vec_id and vec of integers."""
     dtype = "<i8"
@@ -119,10 +138,8 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     asked = math.ceil(n_queries / QUERY_BLOCK)
     zero = queries.repartition(max(1, asked)).select(F.lit(0).alias("part"), "vec_id", "vec")
     asking = written(numbered_queries(zero, dtype), "queries")
-    # Each block of queries goes to every partition of the index.
-    everywhere = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     found = map_batches(
-        block_pairs(index, everywhere, parts * asked), _search(k, dtype),
+        met_blocks(index, asking, parts, asked), _search(k, dtype),
         "q_block bigint, q_row int, query_id bigint, vec_id bigint, score bigint",
     )
     best = W.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id")

@@ -56,6 +56,26 @@ def test_exact_top_k(spark, hard, monkeypatch, levels, few):
     assert impact_search.exact_top_k(rows.filter("vec_id < 0"), queries, 5).count() == 0
 
 
+def test_blocks_of_queries_never_travel_through_the_driver(spark, hard, monkeypatch):
+    """Their files are small, their copies for all parts are not: no broadcast may hold them."""
+    monkeypatch.setattr(impact_search, "BLOCK", 10)
+    rows = vectors_of(hard)
+    plan = impact_search.exact_top_k(rows, rows.filter("vec_id % 50 = 0"), 5)._jdf.queryExecution().executedPlan()
+    assert "Broadcast" not in plan.toString()
+
+
+def test_a_block_of_rows_is_copied_for_a_bounded_number_of_tasks(spark, hard):
+    rows = vectors_of(hard).select(impact_search.F.lit(0).alias("part"), "vec_id", "vec")
+    index = vectors.blocks(rows.coalesce(1), "<i8", 1000)
+    asking = vectors.numbered_queries(rows.repartition(60), "<i8")
+    blocks, asked = index.count(), asking.count()
+    met = impact_search.met_blocks(index, asking, 1, 60).collect()
+    listed = [r.piece for r in met if r.q_block is None]
+    assert len(set(listed)) == 4 * 8 and len(listed) == 4 * 8 * blocks
+    assert sorted(r.q_block for r in met if r.q_block is not None) == sorted(r.q_block for r in asking.collect())
+    assert asked > 4 * 8
+
+
 def test_exact_top_k_equals_its_sql(spark):
     import duckdb
 
