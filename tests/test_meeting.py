@@ -115,3 +115,53 @@ def test_candidates_of_a_hub_are_spread_over_the_parts(spark, tmp_path):
         assert rows(met) == rows(K.candidate_triples(terms, edges))
         sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
         assert max(sizes) < sum(sizes) / 8 and len(sizes) > 24
+
+
+def all_scored(edges, tf, norm, k):
+    """Every edge of the start that the index would let the mention meet, scored and sorted."""
+    rows = []
+    for e in edges:
+        shared = [w for w in e["end_words"] if w in tf]
+        if (shared[0] if shared else "") != e["word"]:
+            continue
+        product = norm * e["triple_norm"]
+        score = sum(tf.get(w, 0) for w in e["triple_words"]) / math.sqrt(product) if product else 0.0
+        place = (e["relation"] is not None, e["relation"] or "", e["end"] is not None, e["end"] or "")
+        rows.append((-score, place, (e["relation"], e["end"])))
+    return sorted(rows, key=lambda r: r[:2])[:k]
+
+
+def test_edges_of_a_start_are_told_apart_by_words(monkeypatch):
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(12)]
+    for trial in range(300):
+        edges = []
+        for i in range(draw.randrange(1, 30)):
+            end = draw.sample(words, draw.randrange(0, 4))
+            relation = draw.choice([None, "IsA", "w3 Of"])
+            bag = draw.choice([["dog"], ["dog", "dog"], []]) * (trial % 3 > 0) + (relation or "").split() + end
+            norm = sum(bag.count(w) ** 2 for w in set(bag))
+            edge = {"relation": relation, "end": draw.choice([" ".join(end), None]), "triple_words": bag,
+                    "triple_norm": norm, "end_words": end if trial % 2 else [], "word": ""}
+            edges += [edge] + [edge | {"word": w} for w in edge["end_words"]] + [edge] * (trial % 7 == 0)
+        start = G.StartEdges(edges)
+        for _ in range(10):
+            tf = {w: draw.randrange(1, 4) for w in draw.sample([*words, "dog"], draw.randrange(0, 6))}
+            norm = sum(n * n for n in tf.values())
+            want = all_scored(edges, tf, norm, 3)
+            got = start.best(tf, norm, 3)
+            assert [r[1:] for r in got] == [r[1:] for r in want]
+            assert [r[0] for r in got] == pytest.approx([r[0] for r in want], abs=1e-12)
+
+
+def test_a_mention_scores_few_edges_of_its_start(monkeypatch):
+    """60 edges, one of them with a word of the sentence: it and the k first of the others are scored."""
+    edges = [
+        {"relation": "IsA", "end": f"e{i}", "triple_words": ["dog", "IsA", f"e{i}"], "triple_norm": 3,
+         "end_words": [], "word": ""} for i in range(60)
+    ]
+    start, scored = G.StartEdges(edges), []
+    one = G._scored
+    monkeypatch.setattr(G, "_scored", lambda *x: scored.append(x) or one(*x))
+    got = start.best({"dog": 1, "e50": 1, "other": 2}, 6, 3)
+    assert [r[2][1] for r in got] == ["e50", "e0", "e1"] and len(scored) == 4
