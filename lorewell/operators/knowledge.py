@@ -276,6 +276,11 @@ def short_scores(terms: DataFrame, index: EdgeIndex, sentence: Sequence[str]) ->
     return sparse_scores(indexed_candidates(terms, index)).select(*sentence, "group_no", *TRIPLE, "score")
 
 
+def by_message(scored: DataFrame, index: EdgeIndex, keys: Sequence[str]) -> DataFrame:
+    """What a large index gives goes back to its message: it is ranked and collected there without more shuffles."""
+    return scored.repartition(shuffle_partitions(scored), *keys) if is_large(index) else scored
+
+
 def long_scores(
     terms: DataFrame, counts: DataFrame, index: EdgeIndex, sentence: Sequence[str]
 ) -> DataFrame:
@@ -378,10 +383,12 @@ def annotated_knowledge(
     fitting = staged_counts(counts.filter(fits), index)
     short = short_scores(terms.join(fitting, sentence), index, sentence)
     long = counts.filter(~fits)
-    rest = long_scores(terms.join(long.drop("tf"), sentence), long, index, sentence)
+    long_terms = terms.join(long.drop("tf"), sentence)
+    rest = long_scores(long_terms, long, _mentioned(index, long_terms), sentence)
     group = [*sentence, "group_no"]
     columns = [*group, *TRIPLE, "score"]
-    ranked = top_triples(short.select(*columns).unionByName(rest.select(*columns)), group, index.k, bag)
+    scored = by_message(short.select(*columns).unionByName(rest.select(*columns)), index, keys)
+    ranked = top_triples(scored, group, index.k, bag)
     return ranked.select(*group, "rank", *TRIPLE, "score")
 
 
@@ -421,13 +428,14 @@ def message_knowledge(
         ranked = top_triples(scored, group, index.k, bag)
         return ranked.select(*group, "rank", *TRIPLE, "score")
 
-    short = staged_counts(short, index)
+    short, long = staged_counts(short, index), written(long, "long")
     terms = sentence_terms(short, keys, lemma, carry=("tf", "norm"))
     long_terms = sentence_terms(long, keys, lemma, carry=("norm",))
     # a sentence is in one part only, so each part can be ranked by itself; the few long ones
     # are then put where their message is, which leaves the union spread by key
     rest = best(long_scores(long_terms, long, _mentioned(index, long_terms), [*keys, "sent_no"]))
-    return best(short_scores(terms, index, [*keys, "sent_no"])).unionByName(
+    found = by_message(short_scores(terms, index, [*keys, "sent_no"]), index, keys)
+    return best(found).unionByName(
         rest.repartition(shuffle_partitions(messages), *keys)
     )
 
@@ -481,16 +489,16 @@ def context_knowledge(
     if isinstance(index, DenseIndex):
         vectors = index.encode(sents, sentence, "sentence")
         return first_known(rank_dense(terms, written(vectors, "vectors"), index, keys), conv, turn)
-    if is_large(index):
-        terms = written(terms, "terms")
+    terms = written(terms, "terms")
     short, long = _counted(sents.drop("runs"), long_words)
     short = staged_counts(short, index)
     short_terms = terms.join(short, sentence)
     long_terms = terms.join(long.drop("tf"), sentence)
     columns = [*group, *TRIPLE, "score"]
     scored = short_scores(short_terms, index, sentence).select(*columns)
-    rest = long_scores(long_terms, long, index, sentence).select(*columns)
-    return first_known(top_triples(scored.unionByName(rest), group, index.k), conv, turn)
+    rest = long_scores(long_terms, long, _mentioned(index, long_terms), sentence).select(*columns)
+    scored = by_message(scored.unionByName(rest), index, keys)
+    return first_known(top_triples(scored, group, index.k), conv, turn)
 
 
 def first_known(ranked: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -503,10 +511,14 @@ def first_known(ranked: DataFrame, conv: str = "conv_id", turn: str = "turn") ->
 
 
 def _counted(sents: DataFrame, long_words: int) -> tuple[DataFrame, DataFrame]:
-    """Cut sentences with word counts: those of usual length, and the long ones."""
+    """Cut sentences with word counts: those of usual length, and the long ones.
+
+    The long ones are written: a join word by word would else ask the size of a map of every
+    sentence, which is made anew for each look at it, before the number of words is looked at.
+    """
     fits = F.size("words") <= long_words
     rows = sents.drop("sentence")
-    return sentence_counts(rows.filter(fits)), sentence_counts(rows.filter(~fits))
+    return sentence_counts(rows.filter(fits)), written(sentence_counts(rows.filter(~fits)), "long")
 
 
 def rank_sentences(
@@ -528,6 +540,7 @@ def rank_sentences(
     short_terms = sentence_terms(short, keys, lemma, carry=("tf", "norm"))
     scored = short_scores(short_terms, index, [*keys, "sent_no"])
     long_terms = sentence_terms(long, keys, lemma, carry=("norm",))
-    rest = long_scores(long_terms, long, index, [*keys, "sent_no"])
-    ranked = top_triples(scored.select(*columns).unionByName(rest.select(*columns)), group, index.k, bag)
+    rest = long_scores(long_terms, long, _mentioned(index, long_terms), [*keys, "sent_no"])
+    scored = by_message(scored.select(*columns).unionByName(rest.select(*columns)), index, keys)
+    ranked = top_triples(scored, group, index.k, bag)
     return ranked.select(*group, "rank", *TRIPLE, "score")

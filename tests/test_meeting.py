@@ -165,3 +165,26 @@ def test_a_mention_scores_few_edges_of_its_start(monkeypatch):
     monkeypatch.setattr(G, "_scored", lambda *x: scored.append(x) or one(*x))
     got = start.best({"dog": 1, "e50": 1, "other": 2}, 6, 3)
     assert [r[2][1] for r in got] == ["e50", "e0", "e1"] and len(scored) == 4
+
+
+def filters(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in text.splitlines() if "Filter" in x or "DataFilters" in x]
+
+
+def test_no_filter_makes_the_counts_of_sentences(spark, no_broadcast):
+    index = K.index_edges(hub_edges(spark), 3, 5)
+    turns = spark.createDataFrame([(1, 0, "a dog. w1 dog"), (1, 1, "cat b")], "conv_id long, turn long, text string")
+    for ranked in (K.context_knowledge(turns, index), K.message_knowledge(turns, index, ["conv_id", "turn"])):
+        assert not [x for x in filters(ranked) if "map_from_arrays" in x]
+        assert ranked.count() > 0
+
+
+def test_found_triples_go_to_their_message_once(spark, no_broadcast):
+    index = K.index_edges(hub_edges(spark), 3, 5)
+    turns = spark.createDataFrame([(1, 0, "a dog. w1 dog")], "conv_id long, turn long, text string")
+    keys = ["conv_id", "turn"]
+    ranked = K.message_knowledge(turns, index, keys)
+    text = plan(K.distinct_triples(ranked.filter("start <> 'x'"), keys))
+    # the tree, from the result down to the lookup
+    assert text[: text.index("MapInArrow")].count("- Exchange (") == 1
