@@ -506,3 +506,11 @@ def test_knowledge_cells(spark):
 def test_plural_lemma(spark):
     assert one(spark, plural_lemma(F.col("w")), w="stands") == "stand"
     assert one(spark, plural_lemma(F.col("w")), w="dogs") == "dogs"
+
+
+def test_labels_are_made_once_however_often_they_are_used(spark):
+    rows = [("/r/IsA", "/c/en/dogs", "/c/en/dog"), ("/r/IsA", "/c/en/hot_dog/n", "/c/en/food")]
+    raw = spark.createDataFrame(rows, "relation string, start_uri string, end_uri string").repartition(2)
+    kept = E.drop_same_stem(E.with_labels(raw))
+    assert [(r["start"], r["end"]) for r in kept.collect()] == [("hot dog", "food")]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 4
